@@ -48,14 +48,25 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+_LOW = mix(np.arange(1 << 16, dtype=_U) + _U(0x1234567))
+
+
 def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each ``cps[start:end]``: a polynomial over mixed code points, then mixed with the length."""
     n = len(cps)
-    values = mix(cps.astype(_U) + _U(0x1234567))
-    sums = np.zeros(n + 1, dtype=_U)
-    np.cumsum(values * _power_table(_BASE, n), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power_table(_BASE_INVERSE, n + 1)[starts]
-    return mix(raw + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    sums = np.empty(n + 1, dtype=_U)
+    sums[0] = 0
+    values = sums[1:]
+    np.take(_LOW, cps & 0xFFFF, out=values)
+    high = np.flatnonzero(cps >> 16)
+    values[high] += (cps[high] >> 16).astype(_U) * MIX_A
+    values *= _power_table(_BASE, n)
+    np.cumsum(values, out=values)
+    raw = sums[ends]
+    raw -= sums[starts]
+    raw *= _power_table(_BASE_INVERSE, n + 1)[starts]
+    raw += (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93)
+    return mix(raw)
 
 
 def groups_by_size(sizes: np.ndarray, limit: int = WINDOW) -> Iterator[slice]:
