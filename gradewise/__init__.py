@@ -1 +1,11 @@
 """Credit-score analytics on Spark."""
+
+from pathlib import Path
+
+
+def prepare(spark) -> None:
+    """Let Python workers import this package where only the driver's path has it."""
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)
