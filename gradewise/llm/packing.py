@@ -98,22 +98,54 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     return both[:, m:]
 
 
+def _first_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
+    """A first basis: the largest size left and the fullest rest, used until a size runs out; then the next.
+
+    Each pattern is the last with the size that it uses up, so they are independent.
+    """
+    left, out = demand.astype(np.float64).copy(), []
+    while (alive := np.flatnonzero(left > 0)).size:
+        pattern = np.zeros(len(sizes))
+        big = alive[-1]
+        pattern[big] = 1
+        rest = room - int(sizes[big])
+        fit = alive[sizes[alive] <= rest]
+        if len(fit):
+            size = sizes[fit]
+            pattern[fit] += best_pattern(size * (1 + 1e-6 * size), size, rest)[1]
+        times = np.where(pattern > 0, left / np.where(pattern > 0, pattern, 1), np.inf)
+        k = int(times.argmin())
+        left = left - times[k] * pattern
+        left[k] = 0
+        left[left < 1e-9] = 0
+        out.append((k, pattern))
+    done = {k for k, _ in out}
+    rows = [p for _, p in out]
+    for k in range(len(sizes)):  # sizes that ran out together with another
+        if k not in done:
+            alone = np.zeros(len(sizes))
+            alone[k] = room // sizes[k]
+            rows.append(alone)
+    return np.array(rows)
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows: counts by item) and how often each is used (fractions), to cover ``demand`` in fewest sequences.
 
     ``sizes`` ascend. A revised simplex over one basis of ``len(sizes)`` patterns; it ends when pricing finds no better
     pattern, the bound is within ``gap`` or half a sequence, or after ``rounds`` patterns.
     """
-    m = len(sizes)
-    patterns = np.diag(room // sizes).astype(np.float64)
-    inverse = np.diag(1.0 / np.diag(patterns))
-    use, bound = inverse @ demand, float(sizes @ demand) / room
+    patterns = _first_patterns(sizes, demand, room)
+    inverse = _inverse(patterns.T.copy())
+    use, bound = np.maximum(inverse @ demand, 0), float(sizes @ demand) / room
     for step in range(rounds):
         duals = inverse.sum(axis=0)
-        value, column = best_pattern(duals, sizes, room)
         total = use.sum()
+        if total - bound <= max(0.5, gap * total):
+            break
+        value, column = best_pattern(duals, sizes, room)
         bound = max(bound, duals @ demand / max(value, 1.0))
-        if value <= 1 + 1e-9 or total - bound <= max(0.5, gap * total):
+        if value <= 1 + 1e-9:
             break
         some = np.flatnonzero(column)
         direction = (inverse[:, some] * column[some]).sum(axis=1)
