@@ -29,10 +29,11 @@ from gradewise.llm.texthash import constants, groups_by_size, mix, shingle_sets
 
 BANDS, ROWS = 40, 4
 SLOTS = BANDS * ROWS
-#: Documents in a block of a family.
-BLOCK = 256
-#: Agreeing slots (of 160) below which a pair is not worth an exact look: 0.8 * 160 less eight standard deviations.
-LEAST_AGREEING = 88
+#: Documents, and shingles, in a block of a family.
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: A pair whose signatures agree in fewer slots than a similarity at the threshold gives, less this many standard
+#: deviations, is not looked at on full sets. Small sets fill few slots by themselves, so their deviation is larger.
+DEVIATIONS = 5.0
 _U = np.uint64
 
 
@@ -107,6 +108,26 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (both - common)
 
 
+def least_agreeing(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Slots that must agree before a pair, whose smaller set has so many shingles, is looked at exactly."""
+    p = percent / 100
+    return SLOTS * (p - DEVIATIONS * np.sqrt(p * (1 - p) / np.minimum(np.maximum(shingles, 1), SLOTS)))
+
+
+def _sifter(percent: int):
+    """Candidate pairs whose signatures do not rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, SLOTS) for k in (2, 3))
+            m, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
+            keep = (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((a == b).sum(axis=1) >= least_agreeing(np.minimum(m, n), percent))
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], names=["src", "dst"])
+
+    return run, "src long, dst long"
+
+
 def _confirmer(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,12 +160,16 @@ def _block_links(block: list[tuple], percent: int) -> list[tuple[int, int]]:
     comps = [np.array([r[2] for r in side]) for side in sides]
     links = []
     sets = {r[1]: np.frombuffer(r[4], dtype=_U) for r in block}
+    sizes = np.array([len(r[4]) // 8 for r in sides[1]])
     for i, row in enumerate(sides[0]):
         agree = (right == left[i]).sum(axis=1)
+        n = len(row[4]) // 8
+        agree[agree < least_agreeing(np.minimum(sizes, n), percent)] = 0
         agree[comps[1] == comps[0][i]] = 0
         if same:
             agree[: i + 1] = 0
-        for j in np.flatnonzero(agree >= LEAST_AGREEING)[np.argsort(-agree[agree >= LEAST_AGREEING], kind="stable")]:
+        worth = np.flatnonzero(agree)
+        for j in worth[np.argsort(-agree[worth], kind="stable")]:
             other = sides[1][j]
             a, b = find(int(row[2])), find(int(other[2]))
             if a != b and similar(sets[row[1]], sets[other[1]], percent):
@@ -201,12 +226,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = keyed.join(hubs, "bucket").where("id != hub").select(F.least("id", "hub").alias("src"), F.greatest("id", "hub").alias("dst")).distinct()
     stars = materialize(stars, "stars")
 
+    signs = reps.select("id", "slots", "n_shingles")
+    sift, link_schema = _sifter(percent)
+    likely = materialize(
+        stars.join(signs.toDF("src", "a", "m"), "src").join(signs.toDF("dst", "b", "n"), "dst").select("src", "dst", "a", "b", "m", "n").mapInArrow(sift, link_schema), "likely"
+    )
     maker, set_schema = _set_maker(width)
     named = stars.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     sets = materialize(source.join(named, "id", "left_semi").mapInArrow(maker, set_schema), "sets")
-    confirm, link_schema = _confirmer(percent)
+    confirm, _ = _confirmer(percent)
     links = (
-        stars.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src")
+        likely.join(sets.select(F.col("id").alias("src"), F.col("shingles").alias("a")), "src")
         .join(sets.select(F.col("id").alias("dst"), F.col("shingles").alias("b")), "dst")
         .select("src", "dst", "a", "b")
         .mapInArrow(confirm, link_schema)
@@ -218,22 +248,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     standing = (
         family.select("id", F.col("component").alias("family"))
         .join(joined, "id", "left")
-        .select("id", "family", F.coalesce("component", "id").alias("component"))
-    )
-    mixed = (
-        standing.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo != hi")
-        .select("family", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        .join(signs, "id")
+        .select("id", "family", F.coalesce("component", "id").alias("component"), "slots", "n_shingles")
     )
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    mixed = standing.groupBy("family").agg(blocks.alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("family", "blocks")
     mine = F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.col("blocks"))
     dealt = (
         standing.join(mixed, "family")
+        .join(sets, "id")
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "id", "component", "mine")
-        .join(reps.select("id", "slots"), "id")
-        .join(sets, "id")
-        .select("family", "low", "high", "id", "component", "slots", "shingles", "mine")
+        .select("family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "id", "component", "slots", "shingles", "mine")
     )
     compare, _ = _block_comparer(percent)
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -242,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars_again = joined.where("id != component").select(F.col("id").alias("src"), F.col("component").alias("dst"))
     of_copies = copies.select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     final = materialize(connected_components(stars_again.union(more).union(of_copies)), "final")
-    release(stars, sets, links, joined, family, more, copies)
+    release(stars, likely, sets, links, joined, family, more, copies)
     rows = sketches.select("id", "n_shingles").join(final, "id", "left")
     return rows.select(
         F.col("id").alias("doc_id"),
