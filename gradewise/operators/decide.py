@@ -65,30 +65,39 @@ def q2_action(q1, pillars, important, divergent, delta, delta_low, brier_refit,
     rank_bad, calibration_bad = has_pillar(pillars, "rank_order"), has_pillar(pillars, "calibration")
     clears = refit_clears(delta, delta_low, brier_refit, brier, loss_refit, loss, g) & _sure(divergent)
     unstable = ~stable if g.refit_requires_stability else F.lit(False)
+    information = F.lit("need_new_information_not_new_coefficients")
     steps = [
         (q1 == "INCONCLUSIVE", "NONE", F.lit("insufficient_power")),
-        (~rank_bad & calibration_bad, "RECALIBRATE", F.lit("calibration_only")),
-        (q1 == "GOOD", "KEEP_POOLED", F.lit("good")),
+        (~rank_bad & calibration_bad, "RECALIBRATE", F.lit("rank_order_ok_calibration_fail")),
+        (q1 == "GOOD", "KEEP_POOLED", F.lit("performance_good")),
         (~rank_bad & ~_sure(divergent), "KEEP_POOLED", F.lit("no_split_trigger")),
         (~_sure(important), "KEEP_POOLED", F.lit("not_important_enough")),
-        (delta.isNull(), "KEEP_POOLED", F.lit("need_new_information_or_holdout")),
-        (clears & unstable, "MONITOR", F.concat_ws(":", F.lit("unstable_predictors"), F.nullif(why, F.lit("")))),
-        (clears, "SPLIT", F.lit("refit_clears_gates")),
+        (delta.isNull(), "KEEP_POOLED", information),
+        (clears & unstable, "MONITOR", F.concat_ws(":", F.lit("refit_predictors_unstable"), F.nullif(why, F.lit("")))),
+        (clears, "SPLIT", F.lit("holdout_delta_gini_and_shape")),
+        (rank_bad, "KEEP_POOLED", information),
     ]
-    action, reason = F.lit("KEEP_POOLED"), F.lit("refit_does_not_clear_gates")
+    action, reason = F.lit("KEEP_POOLED"), F.lit("split_gates_failed")
     for test, name, text in reversed(steps):
         action, reason = F.when(test, name).otherwise(action), F.when(test, text).otherwise(reason)
     return action, reason
 
 
-def q2_portfolio_action(q1, pillars, delta, delta_low, brier_refit, brier, loss_refit, loss, g: Gates, stable=None, whatif: bool = False) -> Column:
-    """Action for the whole book: never a split. A what-if asks for a refit whatever the verdict."""
+def q2_portfolio_action(q1, pillars, delta, delta_low, brier_refit, brier, loss_refit, loss, g: Gates, stable=None, stability_reason=None, whatif: bool = False) -> tuple[Column, Column]:
+    """Action and reason for the whole book: never a split; only a what-if may ask for a refit."""
     stable = F.lit(True) if stable is None else F.coalesce(stable, F.lit(True))
+    why = F.lit("") if stability_reason is None else F.coalesce(stability_reason, F.lit(""))
     rank_bad, calibration_bad = has_pillar(pillars, "rank_order"), has_pillar(pillars, "calibration")
-    clears = refit_clears(delta, delta_low, brier_refit, brier, loss_refit, loss, g)
+    clears = refit_clears(delta, delta_low, brier_refit, brier, loss_refit, loss, g) & F.lit(whatif)
     unstable = ~stable if g.refit_requires_stability else F.lit(False)
-    wanted = clears & (F.lit(whatif) | rank_bad)
-    return (
-        F.when(q1 == "INCONCLUSIVE", "NONE").when(~F.lit(whatif) & ~rank_bad & calibration_bad, "RECALIBRATE").when(wanted & unstable, "MONITOR").when(wanted, "REFIT")
-        .when(calibration_bad, "RECALIBRATE").otherwise("KEEP_POOLED")
-    )
+    steps = [
+        (q1 == "INCONCLUSIVE", "NONE", F.lit("insufficient_power")),
+        (clears & unstable, "MONITOR", F.concat_ws(":", F.lit("refit_predictors_unstable"), F.nullif(why, F.lit("")))),
+        (clears, "REFIT", F.lit("holdout_delta_gini_portfolio")),
+        (~rank_bad & calibration_bad, "RECALIBRATE", F.lit("rank_order_ok_calibration_fail")),
+        (q1 == "GOOD", "KEEP_POOLED", F.lit("performance_good")),
+    ]
+    action, reason = F.lit("KEEP_POOLED"), F.lit("need_new_information_not_new_coefficients")
+    for test, name, text in reversed(steps):
+        action, reason = F.when(test, name).otherwise(action), F.when(test, text).otherwise(reason)
+    return action, reason

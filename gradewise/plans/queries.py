@@ -391,3 +391,26 @@ def max_psi(spark, sf_dir):
 def ranked_segments(spark, sf_dir):
     order = W.orderBy(F.desc("important"), F.desc("volume_share"), "segment_value")
     return segment_shares(spark, sf_dir).where("segment_col = 'channel'").select("segment_value", "volume_share", F.row_number().over(order).alias("rank"))
+
+
+SCORECARD_SQL = """
+select s.*, 1 / (1 + exp(-LINEAR_SCORE)) as SCORE from (
+  select w.*, w.x1_WOE * -0.8 + w.cat_WOE * 0.5 + w.pd_VAL * 0.9 + w.INTERCEPT_ * -0.25 as LINEAR_SCORE from (
+    select t.*,
+      case when x1 is null then 0.1 when x1 < 10 then 0.9 when x1 < 25 then 0.2 when x1 < 40 then -0.3 when 1=1 then -0.7 end as x1_WOE,
+      case when cat is null then 0 when cat = 'A' then 0.4 when cat = 'N' then -0.1 else -0.2 end as cat_WOE,
+      coalesce_marker
+    from book t) w) s
+""".replace("coalesce_marker", "case when pd is null then -2 when 1=1 then ln(pd/(1-pd)) end as pd_VAL, case when 1=1 then 1 end as INTERCEPT_")
+
+
+@query("scorecard_scores", f"""with {OBS}, w as (select *, case when x1 is null then 0.1e0 when x1 < 10 then 0.9e0 when x1 < 25 then 0.2e0 when x1 < 40 then -0.3e0 else -0.7e0 end as a,
+  case when cat is null then 0e0 when cat = 'A' then 0.4e0 when cat = 'N' then -0.1e0 else -0.2e0 end as c, ln(least(greatest(pd, 1e-6), 1 - 1e-6) / (1 - least(greatest(pd, 1e-6), 1 - 1e-6))) as v from obs),
+z as (select *, a * -0.8e0 + c * 0.5e0 + v * 0.9e0 - 0.25e0 as l from w)
+select channel, cat, count(*) as n, round(avg(a), 6) as avg_x1_woe, round(avg(l), 6) as avg_linear, round(avg(1 / (1 + exp(-l))), 6) as avg_score from z group by channel, cat""")
+def scorecard_scores(spark, sf_dir):
+    from gradewise.operators.scorecard import parse_scorecard_sql
+
+    scored = parse_scorecard_sql(SCORECARD_SQL).transform_frame(_observable(spark, sf_dir))
+    out = scored.groupBy("channel", "cat").agg(F.count("*").alias("n"), F.avg("x1_WOE").alias("avg_x1_woe"), F.avg("LINEAR_SCORE").alias("avg_linear"), F.avg("SCORE").alias("avg_score"))
+    return _rounded(out, "avg_x1_woe", "avg_linear", "avg_score")
