@@ -12,11 +12,9 @@ from gradewise.plans.spec import Gates
 
 def _cutoff(hist: DataFrame, keys: list[str], rate: str) -> DataFrame:
     """The interpolated score quantile of each group at the rate in its column ``rate``."""
-    totals = hist.groupBy(*keys).agg(F.sum("n").alias("nn"))
-    t = hist.join(totals, keys)
     at, upto = (F.col("nn") - 1) * F.col(rate), F.col("n_below") + F.col("n")
     lo, hi = F.min(F.when(upto > F.floor(at), F.col("p_"))), F.min(F.when(upto > F.ceil(at), F.col("p_")))
-    return t.groupBy(*keys).agg((lo + F.max(at - F.floor(at)) * (hi - lo)).alias("cutoff"))
+    return hist.groupBy(*keys).agg((lo + F.max(at - F.floor(at)) * (hi - lo)).alias("cutoff"))
 
 
 def matched_ar(cells: DataFrame, book: DataFrame, keys: list[str], y: str, p: str, gates: Gates | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def to_cells(df: DataFrame, segment_cols: list[str], overall: bool = True) -> Da
 
 
 def histogram(df: DataFrame, keys: list[str], y: str, p: str, clip: bool = True) -> DataFrame:
-    """``keys, p_, n, b, n_below, b_below``: rows and events at each score, and below it, in each group."""
+    """``keys, p_, n, b, n_below, b_below, nn, bb``: rows and events at each score, below it, and of the whole group."""
     score = clipped(F.col(p)) if clip else finite(F.col(p))
     rows = df.where(F.col(p).isNotNull()).select(*keys, score.alias("p_"), F.col(y).cast("double").alias("y_"))
     hist = rows.where("p_ is not null").groupBy(*keys, "p_").agg(F.count("*").alias("n"), F.sum("y_").alias("b"))
@@ -35,35 +35,32 @@ def histogram(df: DataFrame, keys: list[str], y: str, p: str, clip: bool = True)
     hist = hist.withColumn("range_", F.floor((squashed + 1) * (RANGES / 2)))
     before = W.partitionBy(*keys).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
     ranges = hist.groupBy(*keys, "range_").agg(F.sum("n").alias("rn"), F.sum("b").alias("rb"))
-    ranges = ranges.select(*keys, "range_", F.coalesce(F.sum("rn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("rb").over(before), F.lit(0.0)).alias("b0"))
+    whole = W.partitionBy(*keys)
+    ranges = ranges.select(*keys, "range_", F.sum("rn").over(whole).alias("nn"), F.sum("rb").over(whole).alias("bb"), F.coalesce(F.sum("rn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("rb").over(before), F.lit(0.0)).alias("b0"))
     inside = W.partitionBy(*keys, "range_").orderBy("p_").rowsBetween(W.unboundedPreceding, -1)
     hist = hist.withColumn("n1", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("b1", F.coalesce(F.sum("b").over(inside), F.lit(0.0)))
-    return hist.join(ranges, [*keys, "range_"]).select(*keys, "p_", "n", "b", (F.col("n0") + F.col("n1")).alias("n_below"), (F.col("b0") + F.col("b1")).alias("b_below"))
-
-
-def _with_totals(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Totals of each group, joined on: a few rows against the histogram."""
-    totals = hist.groupBy(*keys).agg(F.sum("n").alias("nn"), F.sum("b").alias("bb"))
-    return hist.join(totals, keys) if keys else hist.crossJoin(totals)
+    return hist.join(ranges, [*keys, "range_"]).select(*keys, "p_", "n", "b", (F.col("n0") + F.col("n1")).alias("n_below"), (F.col("b0") + F.col("b1")).alias("b_below"), "nn", "bb")
 
 
 def rank_metrics(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """``auc, gini, ks`` of each group; null where one class or one score is all there is."""
-    t = _with_totals(hist, keys)
+    """``auc, gini, ks`` of each group; null where one class or one score is all there is.
+
+    The first two also hold for the lower part of a histogram: its totals are the largest running totals.
+    """
     good_below = F.col("n_below") - F.col("b_below")
     good = F.col("n") - F.col("b")
     wins = F.sum(F.col("b") * (good_below + good / 2))
-    goods = F.max("nn") - F.max("bb")
-    known = (F.max("bb") > 0) & (goods > 0) & (F.count("*") > 1)
-    auc = F.when(known, wins / (F.max("bb") * goods))
+    bads = F.max(F.col("b_below") + F.col("b"))
+    goods = F.max(good_below + good)
+    known = (bads > 0) & (goods > 0) & (F.count("*") > 1)
+    auc = F.when(known, wins / (bads * goods))
     gap = F.abs((F.col("b_below") + F.col("b")) / F.col("bb") - (good_below + good) / (F.col("nn") - F.col("bb")))
     safe_gap = F.when((F.col("bb") > 0) & (F.col("nn") > F.col("bb")), gap)
-    return t.groupBy(*keys).agg(auc.alias("auc"), (2 * auc - 1).alias("gini"), F.max(safe_gap).alias("ks"))
+    return hist.groupBy(*keys).agg(auc.alias("auc"), (2 * auc - 1).alias("gini"), F.max(safe_gap).alias("ks"))
 
 
 def quantiles(hist: DataFrame, keys: list[str], n_bins: int) -> DataFrame:
     """``keys, edges, nn``: distinct edges of equal-frequency bins, linearly interpolated; n bins if rows are fewer."""
-    t = _with_totals(hist, keys)
     bins = F.least(F.lit(n_bins), F.col("nn")).cast("int")
     parts = []
     for i in range(n_bins + 1):
@@ -73,7 +70,7 @@ def quantiles(hist: DataFrame, keys: list[str], n_bins: int) -> DataFrame:
         lo, hi = F.min(F.when(upto > F.floor(at), F.col("p_"))), F.min(F.when(upto > F.ceil(at), F.col("p_")))
         share = F.max(at - F.floor(at))
         parts.append((lo + share * (hi - lo)).alias(f"e{i}"))
-    out = t.groupBy(*keys).agg(F.max("nn").alias("nn"), *parts)
+    out = hist.groupBy(*keys).agg(F.max("nn").alias("nn"), *parts)
     return out.select(*keys, "nn", F.array_distinct(F.array(*[f"e{i}" for i in range(n_bins + 1)])).alias("edges"))
 
 

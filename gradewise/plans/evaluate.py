@@ -43,6 +43,11 @@ class SegmentEvalResult:
         return R.save_fitted_artifacts(self.artifacts, directory)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """A table of a row a cell, computed once: what builds on it plans on rows, not on the whole evaluation."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def is_overall_segment(segment_col, segment_value=None) -> bool:
     return segment_col == OVERALL_SEGMENT_COL and segment_value in (None, OVERALL_SEGMENT_VALUE)
 
@@ -98,23 +103,26 @@ def evaluate_segments(df: DataFrame, cols: ScorecardColumns, gates: Gates | None
     if obs.where(F.col(y).isNull()).limit(1).count():
         raise ValueError(f"{y} is null on observable rows")
     cells = M.to_cells(obs, segments)
-    perf = M.performance_bundle(cells, CELL, y, p, g.n_ece_bins)
+    perf = _settled(M.performance_bundle(cells, CELL, y, p, g.n_ece_bins))
     every = M.to_cells(book, segments)
     bad = F.sum(F.when(observable_mask(book, cols), F.col(y)).cast("double"))
     totals = book.agg(F.count("*").alias("n_all"), bad.alias("d_all"))
     shares = every.groupBy(*CELL).agg(F.count("*").alias("n_ttd"), F.coalesce(bad, F.lit(0.0)).alias("d_"), F.avg(fantomas_mask(book, cols).cast("double")).alias("fantomas_rate"))
     shares = shares.crossJoin(F.broadcast(totals)).select(*CELL, "n_ttd", (F.col("n_ttd") / F.col("n_all")).alias("volume_share"), F.when(F.col("d_all") > 0, F.col("d_") / F.col("d_all")).alias("default_share"), "fantomas_rate")
+    shares = _settled(shares)
     slices = M.performance_bundle(cells.where(~fantomas_mask(book, cols)), CELL, y, p, g.n_ece_bins).withColumn("slice", F.lit("observable_ex_fantomas")).unionByName(perf.withColumn("slice", F.lit("observable")))
     vintages = ratios = None
     if cols.col_date and cols.col_date in book.columns:
         dated = cells.withColumn("vintage", vintage(F.col(cols.col_date))).where("vintage is not null")
         vintages = M.performance_bundle(dated, [*CELL, "vintage"], y, p, g.n_ece_bins).select(*CELL, "vintage", "n", "defaults", "gini", "oe", "obs_rate", "mean_pd")
-        ratios = M.vintage_ratio(vintages, CELL)
-    ar = matched_ar(cells.where(F.col("segment_col") != OVERALL_SEGMENT_COL), obs, CELL, y, p, g)
+        vintages = _settled(vintages)
+        ratios = _settled(M.vintage_ratio(vintages, CELL))
+    ar = _settled(matched_ar(cells.where(F.col("segment_col") != OVERALL_SEGMENT_COL), obs, CELL, y, p, g))
     preds = [c for c in cols.cols_pred if c in book.columns]
     characteristics = divergence = None
     if preds and segments:
-        characteristics = feature_diagnostics(cells.where(F.col("segment_col") != OVERALL_SEGMENT_COL), obs, preds, y, CELL, grouping, g.n_woe_bins).persist()
+        characteristics = feature_diagnostics(cells.where(F.col("segment_col") != OVERALL_SEGMENT_COL), obs, preds, y, CELL, grouping, g.n_woe_bins)
+        characteristics = _settled(characteristics)
         divergence = shape_divergence(characteristics, CELL, g.psi_woe_material)
     pooled = perf.where(F.col("segment_col") == OVERALL_SEGMENT_COL).select(F.col("gini").alias("gini_overall"))
     facts = shares.join(perf, CELL, "left").crossJoin(F.broadcast(pooled)).join(ar, CELL, "left")
@@ -125,7 +133,8 @@ def evaluate_segments(df: DataFrame, cols: ScorecardColumns, gates: Gates | None
     se = M.gini_standard_error(c("gini"), c("defaults").cast("double"), (c("n") - c("defaults")).cast("double"))
     facts = facts.withColumn("gini_ci_low", c("gini") - g.delta_gini_z * se)
     verdict, pillars = D.q1_verdict(c("n"), c("defaults"), c("gini"), c("gini_ci_low"), c("gini_overall"), c("oe"), c("ece"), c("latest_to_early_gini_ratio"), g)
-    facts = facts.withColumn("q1_verdict", verdict).withColumn("failed_pillars", pillars).withColumn("important", D.is_important(c("volume_share"), c("default_share"), g) | (c("segment_col") == OVERALL_SEGMENT_COL)).persist()
+    facts = facts.withColumn("q1_verdict", verdict).withColumn("failed_pillars", pillars).withColumn("important", D.is_important(c("volume_share"), c("default_share"), g) | (c("segment_col") == OVERALL_SEGMENT_COL))
+    facts = _settled(facts)
 
     rows, artifacts = [], []
     for r in facts.select(*CELL, "q1_verdict", "failed_pillars", "shape_divergent").collect():
