@@ -134,7 +134,7 @@ with recursive parts as (
   select page_id, url, html, lower(regexp_extract(url, '^.*?://([^/?#]*)', 1)) as host, regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1) as path,
     case when contains(url, '://') then lower(regexp_extract(url, '^(.*?://[^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^([^#]*)', 1), '^.*?://[^/?#]*', '') end as node
   from pages),
-rules(rh, rp, verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+rules(rh, rp, verdict) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 fits as (
   select page_id, rh || rp as rule, verdict, row_number() over (partition by page_id order by length(rh || rp) desc, rh || rp) as place
   from parts join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)),

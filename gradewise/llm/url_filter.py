@@ -17,7 +17,7 @@ from gradewise.llm.store import materialize
 RULES = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
-    ("net", "/de/", "block"),
+    ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
