@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gradewise.functions.columns import clipped, sigmoid
 from gradewise.operators.bins import BinningModel
+from gradewise.operators.compare import compare_groupings, merge_overlapping
 from gradewise.operators.metrics import histogram, moments, rank_metrics
 from gradewise.operators.scorecard import render_scorecard_sql
 from gradewise.operators.stability import predictor_stability, stability_summary
@@ -168,7 +169,7 @@ class RefitResult:
         return self.stability_summary.get("stability_score")
 
 
-def refit_with_diagnostics(train: DataFrame, pred_cols: list[str], target_col: str, gates: Gates | None = None, date_col: str | None = None, grouping: BinningModel | None = None, logit_cols: list[str] | None = None, segment_col=None, segment_value=None) -> RefitResult:
+def refit_with_diagnostics(train: DataFrame, pred_cols: list[str], target_col: str, gates: Gates | None = None, date_col: str | None = None, grouping: BinningModel | None = None, logit_cols: list[str] | None = None, segment_col=None, segment_value=None, portfolio_grouping: BinningModel | None = None, pred_woe_map: dict[str, str] | None = None) -> RefitResult:
     """New bins on ``train`` (logit predictors keep their form), a logistic model on their weights, and stability."""
     g = gates or Gates()
     logit_cols = [c for c in (logit_cols or []) if c in pred_cols]
@@ -178,11 +179,13 @@ def refit_with_diagnostics(train: DataFrame, pred_cols: list[str], target_col: s
         fitted = BinningModel.fit(train, target_col, [c for c in pred_cols if c not in logit_cols], g)
         fitted.specs |= {c: BinSpec(c, "logit", "logit", transform="logit", impute=0.0) for c in logit_cols}
         grouping = BinningModel({c: fitted.specs[c] for c in pred_cols}, g)
+        if date_col and g.stability_merge_overlapping_rates:
+            grouping = merge_overlapping(train, grouping, target_col, date_col, z=g.delta_gini_z)
     beta, intercept = fit_logistic(train, {c: s.transform_woe(F.col(c)) for c, s in grouping.specs.items()}, target_col)
     kinds = {s.kind == "logit" for s in grouping.specs.values()}
     method = "logistic_mixed" if len(kinds) == 2 else "logistic_logit" if True in kinds else "logistic_woe"
     table = predictor_stability(train, pred_cols, target_col, date_col, g, grouping) if date_col else None
-    artifact = FittedModelArtifact("refit", method, beta, intercept, grouping, None, segment_col, segment_value)
+    artifact = FittedModelArtifact("refit", method, beta, intercept, grouping, None, segment_col, segment_value, compare_groupings(grouping, portfolio_grouping, pred_woe_map, g))
     return RefitResult(method, artifact, grouping, table, stability_summary(table, g))
 
 

@@ -76,7 +76,7 @@ def _holdout(cell: DataFrame, cols: ScorecardColumns, gates: Gates, do_refit: bo
         out["brier_recal"], out["logloss_recal"] = R.proper_scores(again, y, "p_recal")
         artifacts.append(recal.artifact)
     if do_refit and cols.cols_pred and all(c in cell.columns for c in cols.cols_pred):
-        fitted = R.refit_with_diagnostics(train, list(cols.cols_pred), y, gates, cols.col_date, logit_cols=cols.logit_pred_cols(grouping), segment_col=name[0], segment_value=name[1])
+        fitted = R.refit_with_diagnostics(train, list(cols.cols_pred), y, gates, cols.col_date, logit_cols=cols.logit_pred_cols(grouping), segment_col=name[0], segment_value=name[1], portfolio_grouping=grouping, pred_woe_map=cols.pred_woe_map())
         scored = test.withColumn("p_refit", fitted.artifact.predict_proba(test.columns)).persist()
         out |= R.bootstrap_delta_gini(scored, y, "p_refit", p, gates.n_bootstrap, gates.bootstrap_seed, gates.delta_gini_z)
         out["brier_refit"], out["logloss_refit"] = R.proper_scores(scored, y, "p_refit")

@@ -138,6 +138,21 @@ def test_names():
     assert map_pred_to_val(["p"], ["p_LIN"]) == {"p": "p_LIN"}
 
 
+def test_grouping_comparison_and_recovery(spark, book):
+    from gradewise.operators.compare import bin_spec_from_woe_column, compare_bin_specs, merge_overlapping
+
+    inf = math.inf
+    a = B.BinSpec("x", "numeric", "t", edges=[-inf, 0, 10, inf], woe={"(-inf, 0]": 0.5, "(0, 10]": 0.1, "(10, inf)": -0.5})
+    b = B.BinSpec("x", "numeric", "t", edges=[-inf, 0, inf], woe={"(-inf, 0]": -0.5, "(0, inf)": 0.1})
+    kinds = [r["kind"] for r in compare_bin_specs(a, b)]
+    assert kinds == ["woe_sign_flip", "aligned", "woe_sign_flip", "split"] and compare_bin_specs(b, a)[1]["kind"].startswith("merged")
+    assert compare_bin_specs(a, None)[0]["kind"] == "no_portfolio_spec"
+    df = spark.createDataFrame([(float(v), a.woe["(-inf, 0]"] if v <= 0 else a.woe["(0, 10]"] if v <= 10 else a.woe["(10, inf)"]) for v in range(-20, 30)], "x double, x_woe double")
+    assert bin_spec_from_woe_column(df, "x", "x_woe").edges == [-inf, 0.5, 10.5, inf]
+    noisy = B.BinningModel({"x2": B.BinSpec("x2", "numeric", "t", edges=[-inf, -1, 0, 0.1, 0.2, 1, inf])})
+    assert len(merge_overlapping(book, noisy, "default", "score_date").specs["x2"].edges) < 7
+
+
 def test_metadata_from_a_table(spark, tmp_path):
     make_synthetic_db_table(spark, 500).createOrReplaceTempView("cases")
     executor = meta.SqlExecutor(spark, hidden_columns=("x2",))
