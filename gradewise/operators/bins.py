@@ -36,13 +36,13 @@ def edge_labels(edges: list[float], closed: str = "right") -> list[str]:
     return [f"bin_{i:02d}" for i in range(len(edges) - 1)]
 
 
-def numeric_bin(c: Column, edges: list[float], labels: list[str], closed: str = "right") -> Column:
-    """The label of the interval that holds ``c``; missing where ``c`` is no finite number."""
+def numeric_bin(c: Column, edges: list[float], labels: list, closed: str = "right", missing=MISSING) -> Column:
+    """The label (or value) of the interval that holds ``c``; ``missing`` where ``c`` is no finite number."""
     x = finite(c.try_cast("double"))
     out = F.lit(labels[-1])
     for edge, label in reversed(list(zip(edges[1:-1], labels[:-1], strict=True))):
         out = F.when(x < edge if closed == "left" else x <= edge, label).otherwise(out)
-    return F.when(x.isNull(), MISSING).otherwise(out)
+    return F.when(x.isNull(), missing).otherwise(out)
 
 
 @dataclass
@@ -76,12 +76,12 @@ class BinSpec:
             out = F.when(tests[rule["op"]](rule.get("value")), F.lit(rule[key])).otherwise(out)
         return out
 
-    def _by_groups(self, c: Column, otherwise: Column) -> Column:
+    def _by_groups(self, c: Column, otherwise: Column, of=str) -> Column:
         out = otherwise
         for label, members in reversed(list((self.groups or {}).items())):
             plain = [m for m in members if m != MISSING]
             hit = c.cast("string").isin(plain) if plain else F.lit(False)
-            out = F.when(hit | (c.isNull() if MISSING in members else F.lit(False)), label).otherwise(out)
+            out = F.when(hit | (c.isNull() if MISSING in members else F.lit(False)), of(label)).otherwise(out)
         return out
 
     def assign(self, c: Column) -> Column:
@@ -90,15 +90,20 @@ class BinSpec:
             return F.when(finite(c.try_cast("double")).isNull(), MISSING).otherwise("logit")
         if self.rules:
             return F.coalesce(self._by_rules(c, "label"), F.lit(OTHER))
-        labels = self.interval_labels()
+        return self._bin(c, str)
+
+    def _bin(self, c: Column, of) -> Column:
+        """One CASE that gives ``of(label)``."""
+        values = [of(x) for x in self.interval_labels()]
+        missing, other = F.lit(of(MISSING)), F.lit(of(OTHER))
         if self.kind == "mixed":
             number = finite(c.try_cast("double"))
-            inner = F.when(number.isNotNull(), numeric_bin(c, self.edges, labels, self.closed)).otherwise(OTHER) if self.edges else F.lit(OTHER)
-            return F.when(c.isNull(), MISSING).otherwise(self._by_groups(c, inner))
+            inner = F.when(number.isNotNull(), numeric_bin(c, self.edges, values, self.closed, of(MISSING))).otherwise(other) if self.edges else other
+            return F.when(c.isNull(), missing).otherwise(self._by_groups(c, inner, of))
         if self.kind == "numeric" and self.edges:
-            return numeric_bin(c, self.edges, labels, self.closed)
+            return numeric_bin(c, self.edges, values, self.closed, of(MISSING))
         known = any(MISSING in m for m in (self.groups or {}).values())
-        return self._by_groups(c, F.lit(OTHER)) if known else F.when(c.isNull(), MISSING).otherwise(self._by_groups(c, F.lit(OTHER)))
+        return self._by_groups(c, other, of) if known else F.when(c.isNull(), missing).otherwise(self._by_groups(c, other, of))
 
     def transform_woe(self, c: Column) -> Column:
         """The weight of evidence (or logit) of a value."""
@@ -106,11 +111,8 @@ class BinSpec:
             return logit_transform(c.try_cast("double"), self.impute)
         if self.rules:
             return self._by_rules(c, "woe")
-        label, default = self.assign(c), self.woe.get(OTHER, 0.0)
-        out = F.lit(float(default))
-        for name, w in self.woe.items():
-            out = F.when(label == name, float(w)).otherwise(out)
-        return out
+        default = float(self.woe.get(OTHER, 0.0))
+        return self._bin(c, lambda label: float(self.woe.get(label, default)))
 
     def interval_labels(self) -> list[str]:
         if not self.edges:

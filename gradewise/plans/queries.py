@@ -414,3 +414,73 @@ def scorecard_scores(spark, sf_dir):
     scored = parse_scorecard_sql(SCORECARD_SQL).transform_frame(_observable(spark, sf_dir))
     out = scored.groupBy("channel", "cat").agg(F.count("*").alias("n"), F.avg("x1_WOE").alias("avg_x1_woe"), F.avg("LINEAR_SCORE").alias("avg_linear"), F.avg("SCORE").alias("avg_score"))
     return _rounded(out, "avg_x1_woe", "avg_linear", "avg_score")
+
+
+# --- what SQL cannot express: fitted models, resampling, whole evaluations; tests hold these against plain versions ---
+
+
+@query("predictor_stability")
+def stability_query(spark, sf_dir):
+    from gradewise.operators.stability import predictor_stability
+
+    obs = _observable(spark, sf_dir)
+    fitted = GROUPING.refresh_stats(obs, "y")
+    return predictor_stability(obs, ["x1", "x2", "cat"], "y", "score_date", GATES, fitted)
+
+
+@query("bootstrap_gini")
+def bootstrap_gini(spark, sf_dir):
+    from gradewise.operators.refit import bootstrap_ginis
+
+    return bootstrap_ginis(_observable(spark, sf_dir), "y", ["pd"], 100, 42).toDF("replicate", "gini")
+
+
+@query("fitted_bins")
+def fitted_bins(spark, sf_dir):
+    model = B.BinningModel.fit(_observable(spark, sf_dir), "y", ["x1", "x2", "cat"], GATES)
+    rows = [(f, b, float(s.counts.get(b, 0)), float(s.events.get(b, 0)), float(s.woe.get(b, 0.0))) for f, s in model.specs.items() for b in s.bin_order() if s.counts.get(b)]
+    return spark.createDataFrame(rows, "feature string, bin string, n double, events double, woe double")
+
+
+@query("grouping_comparison")
+def grouping_comparison(spark, sf_dir):
+    from gradewise.operators.compare import COLUMNS, compare_groupings
+
+    obs = _observable(spark, sf_dir)
+    segment = B.BinningModel.fit(obs.where("channel = 'inverted'"), "y", ["x1", "cat"], GATES)
+    rows = compare_groupings(segment, GROUPING.refresh_stats(obs, "y"), gates=GATES)
+    return spark.createDataFrame([tuple(r[c] for c in COLUMNS) for r in rows], "feature string, segment_bin string, portfolio_bin string, kind string, segment_woe double, portfolio_woe double, delta_woe double, significant boolean, note string")
+
+
+@query("recalibrated_segment")
+def recalibrated(spark, sf_dir):
+    from gradewise.operators.refit import recalibrate_with_diagnostics
+
+    rows = _observable(spark, sf_dir).where("channel = 'miscal'")
+    p = recalibrate_with_diagnostics(rows, "pd", "y").artifact.predict_proba()
+    return rows.groupBy("cat").agg(F.count("*").alias("n"), F.avg("y").alias("obs_rate"), F.avg("pd").alias("pd_before"), F.avg(p).alias("pd_after"))
+
+
+@query("refitted_segment")
+def refitted(spark, sf_dir):
+    from gradewise.operators.refit import refit_with_diagnostics
+
+    rows = _observable(spark, sf_dir).where("channel = 'inverted'")
+    p = refit_with_diagnostics(rows, ["x1", "x2", "cat"], "y", GATES).artifact.predict_proba(rows.columns)
+    return M.performance_bundle(rows.withColumn("p_refit", p).withColumn("segment_value", F.col("channel")), ["segment_value"], "y", "p_refit")
+
+
+@query("segment_decisions")
+def segment_decisions(spark, sf_dir):
+    from gradewise.plans.evaluate import evaluate_segments
+    from gradewise.plans.report import decision_table
+
+    return decision_table(evaluate_segments(book(spark, sf_dir), COLS, GATES, GROUPING.refresh_stats(_observable(spark, sf_dir), "y")))
+
+
+@query("recommended_actions")
+def recommended_actions(spark, sf_dir):
+    from gradewise.plans.evaluate import evaluate_portfolio_whatif
+    from gradewise.plans.report import recommendations
+
+    return recommendations(evaluate_portfolio_whatif(book(spark, sf_dir), COLS, GATES))
