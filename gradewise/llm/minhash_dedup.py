@@ -218,7 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = filled.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     copies = filled.select("id", "set_a", "set_b").join(first.where("copies > 1"), ["set_a", "set_b"]).where("id != rep").select("id", "rep")
     copies = materialize(copies.distinct(), "copies")
-    reps = filled.join(copies, "id", "left_anti")
+    # one shuffle whatever the size, and none again for what reads the representatives below
+    reps = materialize(filled.join(copies.hint("merge"), "id", "left_anti").select("id", "n_shingles", "bands", "slots"), "reps")
 
     keyed = reps.select("id", F.explode("bands").alias("bucket"))
     order = F.xxhash64("id", "bucket")
@@ -268,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars_again = joined.where("id != component").select(F.col("id").alias("src"), F.col("component").alias("dst"))
     of_copies = copies.select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     final = materialize(connected_components(stars_again.union(more).union(of_copies)), "final")
-    release(stars, likely, sets, links, joined, family, more, copies)
+    release(reps, stars, likely, sets, links, joined, family, more, copies)
     rows = sketches.select("id", "n_shingles").join(final, "id", "left")
     return rows.select(
         F.col("id").alias("doc_id"),
