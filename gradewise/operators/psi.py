@@ -116,7 +116,7 @@ def woe_spearman(segment: DataFrame, reference: DataFrame, keys: list[str]) -> D
 
     ranked = both.select(*keys, "feature", ranks("a").alias("ra"), ranks("b").alias("rb"))
     enough = (F.count("*") >= 3) & (F.stddev_pop("ra") > 0) & (F.stddev_pop("rb") > 0)
-    return ranked.groupBy(*keys, "feature").agg(F.when(enough, F.corr("ra", "rb")).alias("woe_spearman"))
+    return ranked.groupBy(*keys, "feature").agg(F.when(enough, F.round(F.corr("ra", "rb"), 12) + F.lit(0.0)).alias("woe_spearman"))
 
 
 def feature_diagnostics(segments: DataFrame, book: DataFrame, features: list[str], y: str, keys: list[str], grouping: BinningModel | None = None, n_bins: int = 10) -> DataFrame:

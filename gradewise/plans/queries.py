@@ -261,7 +261,7 @@ def out_of_range(spark, sf_dir):
 DIAG = f"""ranked as (select s.segment_col, s.segment_value, s.feature, s.woe as a, o.woe as b from woe s join woe o on o.segment_col = '__overall__' and o.feature = s.feature and o.bin = s.bin where s.segment_col = 'channel'),
 rr as (select segment_col, segment_value, feature, rank() over (partition by segment_col, segment_value, feature order by a) + (count(*) over (partition by segment_col, segment_value, feature, a) - 1) / 2e0 as ra,
   rank() over (partition by segment_col, segment_value, feature order by b) + (count(*) over (partition by segment_col, segment_value, feature, b) - 1) / 2e0 as rb from ranked),
-spear as (select segment_col, segment_value, feature, case when count(*) >= 3 then corr(ra, rb) end as woe_spearman from rr group by all),
+spear as (select segment_col, segment_value, feature, case when count(*) >= 3 then round(corr(ra, rb), 12) + 0e0 end as woe_spearman from rr group by all),
 ivs as (select segment_col, segment_value, feature, sum(iv_part) as iv from woe group by all),
 med as (select segment_value, median(x1) as m1, median(x2) as m2 from cells where segment_col = 'channel' group by 1),
 uni as (select c.segment_value as seg, 'x1' as feature, coalesce(x1, m1) as v, y from cells c join med using (segment_value) where c.segment_col = 'channel' union all select c.segment_value, 'x2', coalesce(x2, m2), y from cells c join med using (segment_value) where c.segment_col = 'channel'),
