@@ -1,35 +1,37 @@
-"""Line deduplication over content-defined chunks of lines.
-
-A line is what a line feed ends; long lines also end after a sentence (a stop, then white space). A rolling hash over
-the hashes of two neighbouring lines decides where a chunk ends, so the same passage is cut alike wherever it stands.
-``LAYOUTS`` independent choices of boundaries cut every document again, since a passage's first chunk also depends on
-what stands before it. A chunk of several lines that occurs elsewhere earlier (by document, then place) is removed once
-its bytes, white space at line ends apart, were compared with that first occurrence's.
+"""Line deduplication over every run of lines that is just long enough.
+
+A line is what a line feed ends; long lines also end after a sentence (a stop, then white space). From each line on, and
+back from each line, the shortest run of ``LEAST_WORDS`` words is a chunk, one line or several; its key is a rolling hash
+over the hashes of its lines. What a chunk holds depends on nothing around it, and the chunks inside a passage cover the
+passage, so any passage of ``LEAST_WORDS`` words or more that repeats whole lines goes whole. A chunk that occurs earlier
+(by document, then place) is removed once its bytes, white space at line ends apart, were compared with that first
+occurrence's. A removed line so always stays where it stands first, though what stood around it there may go.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewise.llm.store import materialize, release
-from gradewise.llm.texthash import codepoints, constants, groups_by_size, mix, span_hashes
+from gradewise.llm.texthash import codepoints, groups_by_size, mix, span_hashes
 
-LAYOUTS, DIVISOR = 3, 3
-#: A chunk has so many lines and words at least.
-LEAST_LINES, LEAST_WORDS = 2, 20
+#: A chunk has so many words at least.
+LEAST_WORDS = 20
 _U = np.uint64
 _STOPS = np.array([ord(c) for c in ".!?"], dtype=np.uint32)
 
 
 def _chunks(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Text, first code point, code point after the last, hash: of every chunk of every layout that is large enough."""
+    """Text, first code point, code point after the last, hash: of every chunk."""
     cps = codepoints("\n".join(texts) + "\n")
     sizes = np.array([len(t) + 1 for t in texts])
     ends_text = np.cumsum(sizes)
@@ -51,32 +53,19 @@ def _chunks(texts: list[str]) -> tuple[np.ndarray, ...]:
     words = word[last] - word[first]  # a line starts at a word
     owner = np.searchsorted(ends_text, first, side="right")
     n = len(first)
-    head = np.ones(n, dtype=bool)  # first line of its text
-    head[1:] = owner[1:] != owner[:-1]
-    found = []
-    factors = constants(3 * LAYOUTS, 19)
+    total = np.concatenate(([0], np.cumsum(words)))
+    begin, close = np.searchsorted(owner, owner), np.searchsorted(owner, owner, side="right")  # the lines of a line's text
+    line = np.arange(n)
+    stop_at = np.searchsorted(total, total[:-1] + LEAST_WORDS)
+    start_at = np.searchsorted(total, total[1:] - LEAST_WORDS, side="right") - 1
+    onward, back = stop_at <= close, start_at >= begin
+    pairs = np.unique(np.concatenate((line[onward] * (n + 1) + stop_at[onward], start_at[back] * (n + 1) + line[back] + 1)))
+    since, upto = pairs // (n + 1), pairs % (n + 1)
     sums = np.concatenate(([_U(0)], np.cumsum(mix(hashes) * _weights(n))))
-    undo = _inverse_weights(n + 1)
-    for layout in range(LAYOUTS):
-        p, q, seed = factors[3 * layout : 3 * layout + 3]
-        before = np.concatenate(([_U(0)], hashes[:-1]))
-        before[head] = 0
-        rolled = mix(before * p + hashes * q + seed)
-        tail = rolled % _U(DIVISOR) == 0
-        tail[:-1] |= head[1:]
-        tail[-1] = True
-        to = np.flatnonzero(tail)
-        since = np.concatenate(([0], to[:-1] + 1))
-        many = to - since + 1 >= LEAST_LINES
-        total = np.concatenate(([0], np.cumsum(words)))
-        many &= total[to + 1] - total[since] >= LEAST_WORDS
-        since, to = since[many], to[many]
-        whole = mix((sums[to + 1] - sums[since]) * undo[since] + (to - since).astype(_U))
-        found.append((owner[since], first[since], last[to], whole))
-    doc, lo, hi, key = (np.concatenate(c) for c in zip(*found, strict=True))
+    key = mix((sums[upto] - sums[since]) * _inverse_weights(n + 1)[since] + (upto - since).astype(_U))
+    doc = owner[since]
     base = np.concatenate(([0], ends_text[:-1]))[doc]
-    once = np.unique(lo * (len(cps) + 1) + hi, return_index=True)[1]  # layouts may agree on a chunk
-    return doc[once], (lo - base)[once], (hi - base)[once], key[once]
+    return doc, first[since] - base, last[upto - 1] - base, key
 
 
 _W = 0xD1342543DE82EF95
@@ -104,15 +93,61 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(key.view(np.int64))], names=["id", "text_key", "lo", "hi", "hash"])
 
 
-def _bytes_of(text: str) -> bytes:
-    """A chunk's bytes for comparison: its lines, without white space around them."""
-    out, at = [], 0
-    for i, c in enumerate(text):
-        if c == "\n" or (c in " \t\x0b\x0c\r" and i and text[i - 1] in ".!?"):
-            out.append(text[at : i + 1].strip(" \t\n\x0b\x0c\r"))
-            at = i + 1
-    out.append(text[at:].strip(" \t\n\x0b\x0c\r"))
-    return "\n".join(x for x in out if x).encode("utf-8", "surrogatepass")
+#: Bytes of quotes in one batch; bounds memory, not what is quoted.
+QUOTED = 1 << 23
+_BLANKS = " \t\n\x0b\x0c\r"
+_LINE_END = re.compile(r"\n|(?<=[.!?])[ \t\x0b\x0c\r]")
+
+
+def _lines(text: str) -> tuple[list[bytes], dict[int, int], dict[int, int]]:
+    """The bytes of each line without white space around it, and the lines by first code point and by the one after the last."""
+    lines, since, upto, at = [], {}, {}, 0
+    for m in [*[m.end() for m in _LINE_END.finditer(text)], len(text)]:
+        raw = text[at:m]
+        line = raw.lstrip(_BLANKS)
+        if line:
+            since[m - len(line)] = len(lines)
+            line = line.rstrip(_BLANKS)
+            upto[at + len(raw.rstrip(_BLANKS))] = len(lines) + 1
+            lines.append(line.encode("utf-8", "surrogatepass"))
+        at = m
+    return lines, since, upto
+
+
+def cover(spots: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The fewest of ``spots`` (from, to, name) that cover what all of them cover."""
+    out, end, best = [], -1, None
+    for s in sorted(spots, key=lambda s: (s[0], -s[1])):
+        if best and s[0] > end:
+            out.append(best)
+            end, best = best[1], None
+        if s[1] > end and (best is None or s[1] > best[1]):
+            best = s
+    return [*out, best] if best else out
+
+
+def _quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text_key, blob, spots) to one row a spot with the bytes that stand there: all firsts, a cover of the others."""
+    for batch in batches:
+        ids, keys, blobs, lists = batch.columns
+        bounds, spots = lists.offsets.to_pylist(), lists.values
+        los, his, firsts = (spots.field(c).to_pylist() for c in ("lo", "hi", "first"))
+        rows, at, quotes, size = [], [], [], 0
+        for k in range(len(batch)):
+            lines, since, upto = _lines(_open(blobs[k].as_py()))
+            here = [(los[s], his[s], s) for s in range(bounds[k], bounds[k + 1])]
+            for lo, hi, s in [x for x in here if firsts[x[2]]] + cover([x for x in here if not firsts[x[2]]]):
+                rows.append(k)
+                at.append(s)
+                quotes.append(b"\n".join(lines[since[lo] : upto[hi]]))
+                size += len(quotes[-1])
+            if quotes and (size > QUOTED or k == len(batch) - 1):
+                found, here = pa.array(rows), pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(found), keys.take(found), *(spots.field(c).take(here) for c in ("lo", "hi", "hash", "first")), pa.array(quotes, pa.binary())],
+                    names=["id", "text_key", "lo", "hi", "hash", "first", "quote"],
+                )
+                rows, at, quotes, size = [], [], [], 0
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,18 +162,6 @@ def _open(blob: bytes | None) -> str | None:
     return None if blob is None else zstandard.ZstdDecompressor().decompress(blob).decode("utf-8", "surrogatepass")
 
 
-def _quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text_key, blob, spots) to one row a spot with the bytes that stand there."""
-    for batch in batches:
-        for i, key, blob, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = _open(blob)
-            rows = [(i, key, s["lo"], s["hi"], s["hash"], s["first"], _bytes_of(text[s["lo"] : s["hi"]])) for s in spots]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)],
-                names=["id", "text_key", "lo", "hi", "hash", "first", "quote"],
-            )
-
-
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without ``spans``; white space up to the next line goes with each."""
     out, at = [], 0
@@ -182,19 +205,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(f"`{text_col}`").cast("string")
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), text.alias("text"))
     source = keyed.where("text is not null").select("id", "text_key", "text")
-    chunks = materialize(source.mapInArrow(_find, "id long, text_key long, lo long, hi long, hash long"), "chunks")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "text_key", "lo")
-    firsts = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("at")).where("n > 1").select("hash", "at")
-    spot = F.struct("lo", "hi", "hash", (place == F.col("at")).alias("first"))
-    spots = chunks.join(firsts, "hash").groupBy("id", "text_key").agg(F.collect_set(spot).alias("spots"))
+    chunks = source.mapInArrow(_find, "id long, text_key long, lo long, hi long, hash long")
+    # one shuffle by hash; rows of one id and one text tie, so both are first
+    places = W.partitionBy("hash").orderBy(F.asc_nulls_last("id"), "text_key", "lo")
+    ranked = chunks.select("*", (F.rank().over(places) == 1).alias("first"), F.lead("hash").over(places).isNotNull().alias("more"))
+    spots = ranked.where("more or not first").groupBy("id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "hash", "first")).alias("spots"))
     squeezed = source.mapInArrow(_squeeze, "id long, text_key long, blob binary")
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["text_key"] == b["text_key"])
     quoted = squeezed.join(spots, same(squeezed, spots)).select(squeezed["id"], squeezed["text_key"], "blob", "spots")
     quotes = materialize(quoted.mapInArrow(_quote, "id long, text_key long, lo long, hi long, hash long, first boolean, quote binary"), "quotes")
-    kept = quotes.where("first").select("hash", "quote").distinct()
+    kept = quotes.where("first").select("hash", "quote")
     gone = quotes.where("not first").join(kept, ["hash", "quote"], "left_semi").groupBy("id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     spans = materialize(gone, "spans")
-    release(chunks, quotes)
+    release(quotes)
     schema = T.StructType([keyed.schema["id"], keyed.schema["text_key"], keyed.schema["rest"], T.StructField("blob", T.BinaryType())])
     packed = keyed.select("id", "text_key", "rest", "text").mapInArrow(_squeeze, schema)
     joined = packed.join(spans, same(packed, spans), "left").select("rest", "blob", "spans")

@@ -100,6 +100,48 @@ def test_every_removed_chunk_stays_somewhere(spark):
     assert all(line.strip() in left for t in texts for line in t.split("\n"))
 
 
+def plain_line_dedup(texts):
+    """The texts' lines without those in a run of 20 words or more that some run before, by text and place, equals."""
+    lines = [[x.strip() for x in re.split(r"\n|(?<=[.!?])\s", t) if x.strip()] for t in texts]
+    seen, left = set(), []
+    for ls in lines:
+        gone = set()
+        for i in range(len(ls)):
+            for j in range(i + 1, len(ls) + 1):
+                run = tuple(ls[i:j])
+                if sum(len(x.split()) for x in run) >= 20:
+                    if run in seen:
+                        gone |= set(range(i, j))
+                    seen.add(run)
+        left.append([x for k, x in enumerate(ls) if k not in gone])
+    return left
+
+
+def test_line_dedup_equals_all_repeated_runs(spark):
+    rng, pool = random.Random(3), [words(random.Random(s).choice([1, 3, 6, 9, 14, 25]), 700 + s, 5000) + "." for s in range(40)]
+    texts = []
+    for _ in range(60):
+        at = rng.randrange(30)
+        own = [words(rng.randrange(1, 30), rng.random(), 5000) + "." for _ in range(6)]
+        texts.append("".join(x + rng.choice(["\n", " ", "  \n"]) for x in own[:3] + pool[at : at + rng.randrange(1, 9)] + own[3:]))
+    rows = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert [[x.strip() for x in re.split(r"\n|(?<=[.!?])\s", rows[k]) if x.strip()] for k in range(60)] == plain_line_dedup(texts)
+
+
+@pytest.mark.parametrize("sentences", [1, 3, 4, 5, 6])
+def test_short_repeated_passages_go_whole(spark, sentences):
+    texts, passages = [], []
+    for k in range(40):
+        w = words(50 + k % 31, 4000 + k, 9000).split()
+        cuts = [len(w) * c // sentences for c in range(sentences + 1)]
+        passages.append(" ".join(" ".join(w[a:b]) + "." for a, b in zip(cuts, cuts[1:], strict=False)))
+    for k in range(80):
+        texts.append(f"{words(40, k, 9000)}. {passages[k % 40]} {words(40, 100 + k, 9000)}.")
+    rows = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, texts)).collect()}
+    assert all(rows[k] == texts[k] for k in range(40))
+    assert all(rows[k].split() == texts[k].replace(passages[k % 40], "").split() for k in range(40, 80))
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
