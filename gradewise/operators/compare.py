@@ -93,7 +93,7 @@ def bin_spec_from_woe_column(df: DataFrame, raw: str, woe: str, feature: str | N
     rows = df.select(F.round(finite(F.col(woe)), 9).alias("w"), F.col(raw).alias("v")).where("w is not null")
     number = dict(df.dtypes)[raw] not in ("string", "boolean")
     known = rows.where(F.col("v").isNotNull())
-    span = known.groupBy("w").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.col("v").cast("string"))), 1, 200).alias("members") if not number else F.lit(None).alias("members")).limit(most + 1).collect()
+    span = known.groupBy("w").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.array_sort(F.collect_set(F.col("v").cast("string"))).alias("members") if not number else F.lit(None).alias("members")).limit(most + 1).collect()
     if not 2 <= len(span) <= most:
         return None
     missing = rows.where(F.col("v").isNull()).agg(F.max("w")).first()[0]

@@ -153,6 +153,16 @@ def test_grouping_comparison_and_recovery(spark, book):
     assert len(merge_overlapping(book, noisy, "default", "score_date").specs["x2"].edges) < 7
 
 
+def test_recovery_keeps_every_level(spark):
+    from gradewise.operators.compare import grouping_from_woe_columns
+
+    df = spark.createDataFrame([(f"p{v:04d}", 0.5 if v < 700 else -0.25) for v in range(1000)], "post string, post_woe double")
+    model = grouping_from_woe_columns(df, {"post": "post_woe"})
+    assert sorted(map(len, model.specs["post"].groups.values())) == [300, 700]
+    assert sorted(x for m in model.specs["post"].groups.values() for x in m) == [f"p{v:04d}" for v in range(1000)]
+    assert df.where(model.specs["post"].transform_woe(F.col("post")) != F.col("post_woe")).count() == 0
+
+
 def test_metadata_from_a_table(spark, tmp_path):
     make_synthetic_db_table(spark, 500).createOrReplaceTempView("cases")
     executor = meta.SqlExecutor(spark, hidden_columns=("x2",))
