@@ -56,7 +56,7 @@ def html_safe(text) -> str:
 
 
 def _rows(df: DataFrame | None) -> tuple[list[str], list]:
-    return ([], []) if df is None else (df.columns, df.limit(2000).collect())
+    return ([], []) if df is None else (df.columns, df.collect())
 
 
 def html_table(df: DataFrame | None, columns: list[str] | None = None, empty_message: str = "No rows.") -> str:

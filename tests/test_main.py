@@ -1,6 +1,7 @@
 """The credit-score side: hand-checked values, plain versions in numpy, and a whole evaluation."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -163,6 +164,12 @@ def test_recovery_keeps_every_level(spark):
     assert df.where(model.specs["post"].transform_woe(F.col("post")) != F.col("post_woe")).count() == 0
 
 
+def test_report_tables_hold_every_row(spark):
+    rows = spark.range(2160).selectExpr("'channel' segment_col", "concat('v', id) segment_value")
+    for render in (report.html_table, report.frozen_html_table, report.markdown_table):
+        assert set(re.findall(r"\bv\d+\b", render(rows))) == {f"v{k}" for k in range(2160)}
+
+
 def test_metadata_from_a_table(spark, tmp_path):
     make_synthetic_db_table(spark, 500).createOrReplaceTempView("cases")
     executor = meta.SqlExecutor(spark, hidden_columns=("x2",))
