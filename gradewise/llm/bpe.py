@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text of more than ``LONG`` code points is cut into overlapping chunks that are rows of their own, so many tasks share
-one document. Each chunk is pre-tokenised alone. Neighbours agree on where pieces start once both have found the
-pattern's rhythm; the first start inside the overlap that both report is the stitch, and each chunk then encodes the
-pieces between its two stitches. A document with an overlap in which nothing is agreed on (a run of thousands of
-letters) is encoded as one. Decoding concatenates the raw bytes of the ids.
+Every text is cut into overlapping chunks, and all chunks of a window of texts are pre-tokenised side by side, each as if
+it stood alone. A chunk that begins inside a piece finds the pattern's rhythm after a few marks. The first piece start in
+an overlap that both neighbours report, and that text after the left one cannot move, is the stitch: a piece depends only
+on what follows its start, so from there on the right chunk's pieces are the text's. Chunks whose overlap holds no stitch
+(a run of hundreds of letters) are joined and go again. The pieces between stitches are then encoded. Decoding
+concatenates the raw bytes of the ids. A text of any length passes in windows, so memory does not grow with it.
 """
 
 from __future__ import annotations
@@ -14,156 +15,130 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-from gradewise.llm.pieces import encoder, piece_starts, safe_cut
-from gradewise.llm.store import materialize
-from gradewise.llm.texthash import codepoints
-
-LONG, CHUNK, OVERLAP = 65_536, 32_768, 1_024
-
-
-def _encoded(path: str, pattern: str):
-    """Whole texts to ids and decoded bytes."""
 
+from gradewise.llm.pieces import PieceEncoder, classes, encoder, piece_starts
+from gradewise.llm.texthash import WINDOW, groups_by_size
+
+#: Code points of a chunk, and of the overlap with the next one (at most a chunk).
+CHUNK, OVERLAP = 2048, 128
+#: The last marks of a chunk whose piece starts the text after it may move: a contraction may go on.
+UNSURE = 8
+
+
+def _pre_tokenise(cps: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunk and place of every piece start that the chunks ``cps[lo:hi]`` find alone, and each chunk's last sure place."""
+    size = hi - lo
+    at = np.cumsum(size) - size
+    shift = lo - at
+    own = cps[np.arange(int(size.sum())) + np.repeat(shift, size)]
+    found = piece_starts(own, at)
+    chunk = np.searchsorted(at, found, side="right") - 1
+    kind = classes()[own]
+    edges = np.union1d(np.flatnonzero(kind[1:] != kind[:-1]) + 1, at)
+    last_run = edges[np.searchsorted(edges, at + size) - 1]  # it may go on after the chunk
+    return chunk, found + shift[chunk], np.minimum(last_run - 1, at + size - UNSURE) + shift
+
+
+def stitched_starts(cps: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where pieces start in the texts that begin at ``begins`` (sorted, the first is 0), by overlapping chunks."""
+    n = len(cps)
+    ends = np.append(begins[1:], n)
+    count = np.maximum(1, -(-(ends - begins) // CHUNK))
+    text = np.repeat(np.arange(len(begins)), count)
+    lo = begins[text] + CHUNK * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+    while True:
+        follows = np.append(text[1:] == text[:-1], False)
+        hi = np.where(follows, np.minimum(np.append(lo[1:], 0) + OVERLAP, ends[text]), ends[text])
+        chunk, start, sure = _pre_tokenise(cps, lo, hi)
+        sure = np.where(hi == ends[text], n, sure)
+        nearest = np.append(lo[1:], n)
+        left = follows[chunk] & (start >= nearest[chunk]) & (start <= sure[chunk])
+        right = (start < np.append(0, hi[:-1])[chunk]) & np.append(False, follows[:-1])[chunk]
+        common = np.intersect1d(chunk[left] * (n + 1) + start[left], (chunk[right] - 1) * (n + 1) + start[right])
+        joint, first = np.unique(common // (n + 1), return_index=True)
+        stitch = np.full(len(lo), -1, dtype=np.int64)
+        stitch[joint] = common[first] % (n + 1)
+        lost = np.flatnonzero(follows & (stitch < 0))
+        if not len(lost):
+            break
+        lo, text = np.delete(lo, lost + 1), np.delete(text, lost + 1)
+    since = np.where(np.append(False, follows[:-1]), np.append(0, stitch[:-1]), lo)
+    upto = np.where(follows, stitch, ends[text])
+    return start[(start >= since[chunk]) & (start < upto[chunk])]
+
+
+def checked(bpe: PieceEncoder, text: str, ids: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The ids and their decoded bytes; ids whose bytes are not the text's are made anew."""
+    raw = bpe.decode(ids)
+    if raw != text.encode("utf-8", "replace"):
+        ids = bpe.encode_plainly(text)
+        raw = bpe.decode(ids)
+    return ids, raw
+
+
+def _in_parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(key, text) rows a window of text at a time."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    for part in groups_by_size(sizes, WINDOW):
+        rows = batch.slice(part.start, part.stop - part.start)
+        yield rows.column(0), [t or "" for t in rows.column(1).to_pylist()]
+
+
+def _encoder(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):  # a few thousand code points to some megabytes at a time
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
-                    size += len(texts[to])
-                    to += 1
-                ids = bpe.encode_many(texts[at:to])
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, to - at), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())],
-                    names=["doc_id", "ids", "bytes"],
-                )
-                at = to
+            for keys, texts in _in_parts(batch):
+                both = [checked(bpe, t, x) for t, x in zip(texts, bpe.encode_many(texts, stitched_starts), strict=True)]
+                yield pa.RecordBatch.from_arrays([keys, pa.array([x.astype("<u4").tobytes() for x, _ in both], pa.binary()), pa.array([raw for _, raw in both], pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return run, "doc_id long, ids binary, bytes binary"
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, raw = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
-            ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) to overlapping chunks: chunk k covers CHUNK * k to CHUNK * (k + 1) + OVERLAP."""
-    for batch in batches:
-        for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = max(1, (len(text) - OVERLAP + CHUNK - 1) // CHUNK)
-            for k in range(n):
-                end = len(text) if k == n - 1 else CHUNK * (k + 1) + OVERLAP
-                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([doc_id], pa.int64()), pa.array([k], pa.int64()), pa.array([n], pa.int64()), pa.array([text[CHUNK * k : end]])], names=["row", "doc_id", "k", "n", "chunk"])
+def _digester(path: str, pattern: str):
+    """Ids, their bytes and both digests in one pass; ids and bytes stay in the worker, a window at a time."""
 
+    def digests(bpe: PieceEncoder, windows) -> tuple[int, str, str]:
+        n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+        for text, ids in windows:
+            ids, raw = checked(bpe, text, ids)
+            n += len(ids)
+            of_ids.update(ids.astype("<u4").tobytes())
+            of_bytes.update(raw)
+        return n, of_ids.hexdigest(), of_bytes.hexdigest()
 
-def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the piece starts that a chunk finds in the overlaps with its neighbours, counted from its own begin."""
-    for batch in batches:
-        left, right = [], []
-        for k, n, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            cps = codepoints(text)
-            s = piece_starts(cps, np.array([0]))
-            left.append(s[(s > 0) & (s < OVERLAP)].astype(np.int32).tolist() if k else [])
-            good = s[s <= safe_cut(cps, s)] if k < n - 1 else s[:0]
-            right.append((good[good > CHUNK] - CHUNK).astype(np.int32).tolist())
-        arrays = [*batch.columns, pa.array(left, pa.list_(pa.int32())), pa.array(right, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "left", "right"])
-
-
-def _encode_between(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
         for batch in batches:
-            rows, doc_ids, ks, chunks, froms, tos = (c.to_pylist() for c in batch.columns)
-            pieces = [c[a : len(c) if b is None else b] for c, a, b in zip(chunks, froms, tos, strict=True)]
-            ids = bpe.encode_many(pieces)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), pa.array(doc_ids, pa.int64()), pa.array(ks, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())],
-                names=["row", "doc_id", "k", "ids", "bytes"],
-            )
-
-    return run, "row string, doc_id long, k long, ids binary, bytes binary"
-
-
-def _join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by document and chunk; hashes run on as chunks pass, so no document is held whole."""
-    row, state = None, None
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if state:
-            yield pa.RecordBatch.from_arrays([pa.array([state[0]], pa.int64()), pa.array([state[1]], pa.int64()), pa.array([state[2].hexdigest()]), pa.array([state[3].hexdigest()])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for keys, texts in _in_parts(batch):
+                if len(texts) == 1:  # it may be longer than a window
+                    rows = [digests(bpe, bpe.encode_windows(texts[0], stitched_starts))]
+                else:
+                    rows = [digests(bpe, [x]) for x in zip(texts, bpe.encode_many(texts, stitched_starts), strict=True)]
+                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, zip(*rows, strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    for batch in batches:
-        for r, doc_id, _, ids, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if r != row:
-                yield from done()
-                row, state = r, [doc_id, 0, hashlib.sha256(), hashlib.sha256()]
-            state[1] += len(ids) // 4
-            state[2].update(ids)
-            state[3].update(raw)
-    yield from done()
+    return run
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, bytes``: the ids of each row's whole text as little-endian unsigned 32-bit integers, and their
-    decoded bytes. For texts that fit one task; ``round_trip_digests`` is for texts of any length."""
-    run, schema = _encoded(ranks_path, pattern)
+    decoded bytes. Nulls, repeats and empty tables are treated as by ``round_trip_digests``."""
+    run, schema = _encoder(ranks_path, pattern)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", long: int | None = None) -> DataFrame:
+def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for each row of ``docs``, in no order.
 
-    A null text counts as empty: no ids, digests of no bytes. Rows that repeat an id each give their own row, null ids
-    stay null, other columns are not read, an empty table gives no rows. ``ranks_path`` must be readable on executors.
+    A null text counts as empty: no ids, digests of no bytes. Texts of every length take the same path and are never
+    shuffled. Rows that repeat an id each give their own row, null ids stay null, other columns are not read, an empty
+    table gives no rows. ``ranks_path`` must be readable on executors.
     """
-    long = LONG if long is None else long
-    spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = F.length("text")
-    run, schema = _encoded(ranks_path, pattern)
-    short = source.where(size <= long).mapInArrow(run, schema).mapInArrow(_digest, DIGEST_SCHEMA)
-
-    large = source.where(size > long).select(F.expr("uuid()").alias("row"), "doc_id", "text")
-    cut = "row string, doc_id long, k long, n long, chunk string"
-    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = materialize(large.mapInArrow(_cut, cut), "chunks").repartition(parts, "row", "k")
-    marked = chunks.mapInArrow(_starts, cut + ", left array<int>, right array<int>")
-    order = W.partitionBy("row").orderBy("k")
-    # the overlap of chunk k begins CHUNK after its own begin, where chunk k + 1 begins
-    stitch = F.array_min(F.array_intersect("right", F.lead("left").over(order)))
-    stitched = materialize(marked.select("row", "doc_id", "k", "n", "chunk", stitch.alias("stitch")), "stitched")
-    bounds = stitched.select("row", "doc_id", "k", "n", "chunk", F.coalesce(F.lag("stitch").over(order), F.lit(0)).alias("start"), (F.col("stitch") + CHUNK).alias("end"))
-    lost = stitched.where("k < n - 1 and stitch is null").select("row").distinct()
-    encode_between, between = _encode_between(ranks_path, pattern)
-    good = bounds.join(lost, "row", "left_anti").select("row", "doc_id", "k", "chunk", "start", "end").mapInArrow(encode_between, between)
-    by_chunks = good.repartition(parts, "row").sortWithinPartitions("row", "k").mapInArrow(_join_chunks, DIGEST_SCHEMA)
-    whole = (
-        stitched.join(lost, "row", "left_semi")
-        .select("row", "doc_id", "k", F.when(F.col("k") < F.col("n") - 1, F.substring("chunk", 1, CHUNK)).otherwise(F.col("chunk")).alias("chunk"))
-        .groupBy("row", "doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "chunk"))).alias("all"))
-        .select("doc_id", F.concat_ws("", F.col("all.chunk")).alias("text"))
-        .mapInArrow(run, schema)
-        .mapInArrow(_digest, DIGEST_SCHEMA)
-    )
-    return short.unionByName(by_chunks).unionByName(whole)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(_digester(ranks_path, pattern), DIGEST_SCHEMA)

@@ -171,21 +171,36 @@ def test_pieces_equal_the_library(monkeypatch):
     assert [x.tolist() for x in own.encode_many(long)] == other.encode_ordinary_batch(long, num_threads=1)
 
 
-def test_chunks_stitch_to_the_same_ids(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "CHUNK", 500)
-    monkeypatch.setattr(bpe, "OVERLAP", 60)
-    texts = ["".join(odd_texts(120, k)) for k in range(6)] + ["x" * 5000, None, "", "short one"]
-    docs = documents(spark, texts)
-    import functools
-
-    monkeypatch.setattr(bpe, "round_trip_digests", functools.partial(bpe.round_trip_digests, long=1000))
-    got = {r.doc_id: r for r in bpe.round_trip_digests(docs, RANKS, tok.PATTERN).collect()}
+@pytest.mark.parametrize(("chunk", "overlap", "window"), [(9, 9, 1 << 20), (40, 12, 300), (500, 60, 1 << 20), (2048, 128, 5000)])
+def test_chunks_stitch_to_the_same_ids(monkeypatch, chunk, overlap, window):
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    monkeypatch.setattr(bpe, "OVERLAP", overlap)
+    monkeypatch.setattr(pieces, "WINDOW", window)
+    texts = odd_texts(300) + ["".join(odd_texts(120, k)) for k in range(6)] + ["x" * 5000, " " * 900 + "a", "", "it's we'll 'rest" * 90, "ab " * 2000, "中文" * 700 + "'s", "\n" * 300]
+    own, other = pieces.PieceEncoder(RANKS, tok.PATTERN), reference_encoding()
+    assert [x.tolist() for x in own.encode_many(texts, bpe.stitched_starts)] == other.encode_ordinary_batch(texts, num_threads=1)
+
+
+def test_colliding_pieces_are_made_anew():
+    own, other = pieces.PieceEncoder(RANKS, tok.PATTERN), reference_encoding()
+    ids, raw = bpe.checked(own, "right text", own.encode_many(["wrong text"])[0])
+    assert ids.tolist() == other.encode_ordinary("right text") and raw == b"right text"
+
+
+def test_round_trips_of_every_row(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "WINDOW", 4000)
+    texts = ["".join(odd_texts(120, k)) for k in range(6)] + ["x" * 5000, None, "", "short one", "short one", words(9000, 8)]
+    ids_of = [*range(9), 9, 9, None]
+    got = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip_digests(documents(spark, texts, ids_of), RANKS, tok.PATTERN).collect())
     other = reference_encoding()
-    for k, t in enumerate(texts):
+    want = []
+    for k, t in zip(ids_of, texts, strict=True):
         ids = other.encode_ordinary(t or "")
-        assert got[k].n_tokens == len(ids)
-        assert got[k].ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
-        assert got[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        want.append((k or -1, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want)
+    encoded = {r.doc_id: r for r in bpe.encode(documents(spark, texts[:6]), RANKS, tok.PATTERN).collect()}
+    assert all(bytes(encoded[k].bytes) == texts[k].encode() for k in range(6))
+    assert bpe.round_trip_digests(documents(spark, []), RANKS, tok.PATTERN).count() == 0
 
 
 def test_packing_covers_every_id_once(spark):
