@@ -4,6 +4,11 @@ A tolerant tokeniser feeds a tree builder that knows void elements, implied end
 ``<li>``, ``<td>`` and their kind at the next sibling) and raw text elements. The renderer walks the tree: hidden
 elements are left out, blocks stand on lines of their own, paragraphs and headings keep blank lines, list items get
 bullets or numbers with indents, ``<pre>`` keeps its spaces, and table cells are padded so that columns line up.
+
+The tokeniser only moves forward, open elements are found by their places, and the renderer keeps its own stack, so
+elements may nest as deep as a page likes. Indents stop growing at ``WIDEST_INDENT`` and columns at ``WIDEST_COLUMN``
+marks, and tables nested in ``DEEPEST_GRID`` others flow as lines: layout, which no text is lost by, that keeps the work
+on hostile pages in proportion to them.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base area datalist param source track iframe object embed audio video canvas svg math noembed noframes dialog select".split())
+HIDDEN = frozenset("head script style template noscript title meta link base area datalist param source track iframe embed audio video canvas noembed noframes dialog desc defs metadata annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption colgroup".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
@@ -42,7 +47,9 @@ IMPLIED = {
 #: An end tag looks no further than these for its element.
 WALLS = frozenset("table td th caption html template".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+QUOTE_OR_END = re.compile(r"[\"'>]")
+WIDEST_INDENT, WIDEST_COLUMN, DEEPEST_GRID = 64, 200, 8
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -65,66 +72,128 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
+class _Tags:
+    """Tags of a page from its begin to its end; every mark is looked at a fixed number of times."""
+
+    def __init__(self, source: str):
+        self.source, self.quotes = source, True
+
+    def end(self, at: int) -> int:
+        """Where the ``>`` of a start tag stands whose name ends at ``at``; -1 without one.
+
+        Quotes hide it. After a tag whose quotes never close, quotes hide nothing for the rest of the page.
+        """
+        place = at
+        while self.quotes:
+            m = QUOTE_OR_END.search(self.source, place)
+            if m and m.group() == ">":
+                return m.start()
+            close = self.source.find(m.group(), m.end()) if m else -1
+            if close < 0:
+                self.quotes = False
+            place = close + 1
+        return self.source.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, int]]:
+        """(kind, text or name, attributes, place after it); a reader may send the place to go on from."""
+        source, at, n = self.source, 0, len(self.source)
+        since = 0  # of the text not yet given
+        while (at := source.find("<", at)) >= 0:
+            mark = source[at + 1 : at + 2]
+            name = NAME.match(source, at + (2 if mark == "/" else 1)) if mark not in "!?" else None
+            if mark and mark in "!?":
+                if source.startswith("<!--", at):
+                    stop = source.find("-->", at + 2)
+                    to = stop + 3 if stop >= 0 else n
+                else:
+                    stop = source.find(">", at)
+                    to = stop + 1 if stop >= 0 else n
+                kind, tag, attributes = "other", "", ""
+            elif name and mark == "/":
+                stop = source.find(">", name.end())
+                kind, tag, attributes, to = "end", name.group().lower(), "", stop + 1 if stop >= 0 else n
+            elif name:
+                stop = self.end(name.end())
+                if stop < 0:  # no tag can end any more
+                    break
+                kind, tag, attributes, to = "start", name.group().lower(), source[name.end() : stop], stop + 1
+            else:
+                at += 1
+                continue
+            if at > since:
+                yield "text", source[since:at], "", at
+            on = yield kind, tag, attributes, to
+            since = at = on if on is not None else to
+        if since < n:
+            yield "text", source[since:], "", n
+
+
+class _Open:
+    """The open elements, and the places of each tag among them."""
+
+    def __init__(self) -> None:
+        self.stack = [Node("#root")]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The innermost open element with one of ``tags``; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+    def close(self, tags, stops) -> bool:
+        """End the innermost element of ``tags`` that no element of ``stops`` shields."""
+        place = self.last(tags)
+        if place <= self.last(stops):
+            return False
+        self.cut(place)
+        return True
+
+
+_RAW_END: dict[str, re.Pattern] = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
+
+
 def build(source: str) -> Node:
     """The tree of ``source``; never fails, whatever is in it."""
-    root = Node("#root")
-    stack, at, n = [root], 0, len(source)
-
-    def text(piece: str) -> None:
-        if piece:
-            stack[-1].children.append(entities.unescape(piece))
-
-    def close(tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                if not any(x.tag in tags for x in stack[1:]) or tags & {"p"}:
-                    return
-            elif stack[i].tag in stops:
-                return
-
-    while at < n:
-        m = TOKEN.search(source, at)
-        if not m:
-            text(source[at:])
-            break
-        text(source[at : m.start()])
-        at = m.end()
-        if m.group(1):
-            tag = m.group(1).lower()
-            if tag == "br":
-                stack[-1].children.append(Node("br"))
-            elif tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].children.append(Node("p"))
+    opened = _Open()
+    tags = iter(_Tags(source))
+    on = None
+    while True:
+        try:
+            kind, tag, attributes, at = tags.send(on)
+        except StopIteration:
+            return opened.stack[0]
+        on = None
+        inner = opened.stack[-1].children
+        if kind == "text":
+            inner.append(entities.unescape(tag))
+        elif kind == "end":
+            if tag == "br" or tag == "p" and not opened.places.get("p"):
+                inner.append(Node(tag))
             else:
-                walls = WALLS - {tag} - ({"td", "th", "caption"} if tag in ("tr", "tbody", "thead", "tfoot", "table") else set())
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in walls:
-                        break
-        elif m.group(2):
-            tag = m.group(2).lower()
-            attributes = _attributes(m.group(3)) if m.group(3).strip(" /") else {}
+                opened.close({tag}, WALLS - {tag} - ({"td", "th", "caption"} if tag in ("tr", "tbody", "thead", "tfoot", "table") else set()))
+        elif kind == "start":
             if tag in ENDS_P:
-                close({"p"}, WALLS | {"button"})
+                opened.close({"p"}, WALLS | {"button"})
             if tag in IMPLIED:
-                close(*IMPLIED[tag])
-            node = Node(tag, attributes)
-            stack[-1].children.append(node)
-            if tag in VOID:
-                continue
+                while opened.close(*IMPLIED[tag]):
+                    pass
+            node = Node(tag, _attributes(attributes) if attributes.strip(" /") else {})
+            opened.stack[-1].children.append(node)
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
-                inner = source[at : end.start() if end else n]
-                if inner and tag in ("textarea", "title"):
-                    node.children.append(entities.unescape(inner))
-                at = end.end() if end else n
-                continue
-            if len(stack) < 400:  # deeper elements are kept as siblings, with all their text
-                stack.append(node)
-    return root
+                end = _RAW_END[tag].search(source, at)
+                text = source[at : end.start() if end else len(source)]
+                if text and tag in ("textarea", "title"):
+                    node.children.append(entities.unescape(text))
+                on = end.end() if end else len(source)
+            elif tag not in VOID:
+                opened.push(node)
 
 
 def hidden(node: Node) -> bool:
@@ -140,10 +209,27 @@ def _width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
+def _run(job):
+    """The result of a generator that yields generators whose results it waits for: recursion without Python's stack."""
+    jobs, value = [job], None
+    while jobs:
+        try:
+            jobs.append(jobs[-1].send(value))
+            value = None
+        except StopIteration as done:
+            jobs.pop()
+            value = done.value
+    return value
+
+
 class Renderer:
-    """Lines of visible text; ``gap`` is how many line feeds the next text needs before it."""
+    """Lines of visible text; ``gap`` is how many line feeds the next text needs before it.
 
-    def __init__(self) -> None:
+    ``render`` and ``table`` are generators for ``_run``.
+    """
+
+    def __init__(self, level: int = 0) -> None:
+        self.level = level  # of grids around this one
         self.out: list[str] = []
         self.gap, self.space, self.prefix, self.mark = 0, False, "", ""
 
@@ -183,7 +269,10 @@ class Renderer:
         self.gap, self.space = 0, False
         self.out.append(text)
 
-    def render(self, node: Node, pre: bool = False, depth: int = 0) -> None:
+    def _indent(self, more: str) -> str:
+        return self.prefix + more if len(self.prefix) + len(more) <= WIDEST_INDENT else self.prefix
+
+    def render(self, node: Node, pre: bool = False, depth: int = 0):
         counter = _number(node.attributes.get("start", "1"))
         for child in node.children:
             if isinstance(child, str):
@@ -206,8 +295,17 @@ class Renderer:
                     self.put(child.attributes.get("value", ""))
             elif tag == "table":
                 self.line(2)
-                self.table(child, depth)
+                yield self.table(child, depth) if self.level < DEEPEST_GRID else self.render(child, pre, depth)
                 self.line(2)
+            elif tag in ("td", "th"):  # outside a grid
+                self.space = True
+                yield self.render(child, pre, depth)
+                self.space = True
+            elif tag == "select":
+                for option in _shown_options(child):
+                    self.space = True
+                    yield self.render(option, pre, depth)
+                    self.space = True
             elif tag == "li":
                 self.line(1)
                 mark = "- "
@@ -215,72 +313,71 @@ class Renderer:
                     counter = _number(child.attributes.get("value", str(counter)))
                     mark, counter = f"{counter}. ", counter + 1
                 before = self.prefix
-                self.prefix, self.mark = before + " " * len(mark), mark
-                self.render(child, pre, depth + 1)
+                self.prefix, self.mark = self._indent(" " * len(mark)), mark
+                yield self.render(child, pre, depth + 1)
                 self.prefix, self.mark = before, ""
                 self.line(1)
             elif tag in BLOCK:
                 feeds = 2 if tag in SPACED and not (tag in ("ul", "ol") and depth) else 1
                 before = self.prefix
                 if tag in ("blockquote", "dd"):
-                    self.prefix = before + "  "
+                    self.prefix = self._indent("  ")
                 self.line(feeds)
-                self.render(child, pre or tag == "pre", depth)
+                yield self.render(child, pre or tag == "pre", depth)
                 self.prefix = before
                 self.line(feeds)
             else:
-                self.render(child, pre, depth)
+                yield self.render(child, pre, depth)
 
-    def table(self, node: Node, depth: int) -> None:
+    def table(self, node: Node, depth: int):
         """Rows as lines; a cell starts where the widest earlier cells of its column let it."""
         rows: list[list[tuple[str, int]]] = []
         loose: list[Node] = []
 
-        def walk(x: Node) -> None:
-            for child in x.children:
-                if isinstance(child, str):
-                    if child.strip():
-                        loose.append(_wrap(child))
-                elif hidden(child):
-                    continue
-                elif child.tag == "tr":
-                    cells = []
-                    for cell in child.children:
-                        if isinstance(cell, Node) and cell.tag in ("td", "th"):
-                            if not hidden(cell):
-                                cells.append((_inner(cell), min(1000, max(1, _number(cell.attributes.get("colspan", "1"))))))
-                        elif isinstance(cell, Node) and not hidden(cell) or isinstance(cell, str) and cell.strip():
-                            loose.append(_wrap(cell))
-                    rows.append(cells)
-                elif child.tag in ("tbody", "thead", "tfoot"):
-                    walk(child)
-                elif child.tag in ("td", "th"):
-                    if not rows:
-                        rows.append([])
-                    rows[-1].append((_inner(child), 1))
-                elif child.tag in ("col", "colgroup"):
-                    continue
-                else:
+        todo = list(reversed(node.children))
+        while todo:
+            child = todo.pop()
+            if isinstance(child, str):
+                if child.strip():
                     loose.append(_wrap(child))
-
-        walk(node)
+            elif hidden(child) or child.tag in ("col", "colgroup"):
+                continue
+            elif child.tag == "tr":
+                cells = []
+                for cell in child.children:
+                    if isinstance(cell, Node) and cell.tag in ("td", "th"):
+                        if not hidden(cell):
+                            text = yield _inner(cell, self.level + 1)
+                            cells.append((text, min(1000, max(1, _number(cell.attributes.get("colspan", "1"))))))
+                    elif isinstance(cell, Node) and not hidden(cell) or isinstance(cell, str) and cell.strip():
+                        loose.append(_wrap(cell))
+                rows.append(cells)
+            elif child.tag in ("tbody", "thead", "tfoot"):
+                todo += reversed(child.children)
+            elif child.tag in ("td", "th"):
+                if not rows:
+                    rows.append([])
+                text = yield _inner(child, self.level + 1)
+                rows[-1].append((text, 1))
+            else:
+                loose.append(_wrap(child))
         for x in loose:  # captions and stray content stand before the grid
             self.line(1)
-            self.render(x, depth=depth)
+            yield self.render(x, depth=depth)
             self.line(1)
         wide: dict[int, int] = {}
         for cells in rows:
             column = 0
             for text, span in cells:
                 if span == 1:
-                    wide[column] = max(wide.get(column, 0), max(map(_width, text.split("\n"))))
+                    wide[column] = min(WIDEST_COLUMN, max(wide.get(column, 0), max(map(_width, text.split("\n")))))
                 column += span
         for cells in rows:
-            tall = max((text.count("\n") + 1 for text, _ in cells), default=0)
+            split = [(text.split("\n"), span) for text, span in cells]
+            tall = max((len(lines) for lines, _ in split), default=0)
             for k in range(tall):
                 parts, column = [], 0
-                for text, span in cells:
-                    lines = text.split("\n")
+                for lines, span in split:
                     piece = lines[k] if k < len(lines) else ""
                     room = sum(wide.get(column + j, 0) for j in range(span)) + 2 * (span - 1)
                     parts.append(piece + " " * (room - _width(piece)))
@@ -307,18 +404,33 @@ def _wrap(child) -> Node:
     return node
 
 
-def _inner(node: Node) -> str:
-    r = Renderer()
-    r.render(node)
+def _inner(node: Node, level: int):
+    r = Renderer(level)
+    yield r.render(node)
     return r.text()
 
 
+def _shown_options(select: Node) -> list[Node]:
+    """The chosen options of a list (else its first one); all of a list that shows several."""
+    options, todo = [], list(reversed(select.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node) and not hidden(x):
+            if x.tag == "option":
+                options.append(x)
+            else:
+                todo += reversed(x.children)
+    if "multiple" in select.attributes or _number(select.attributes.get("size", "1")) > 1:
+        return options
+    return ([x for x in options if "selected" in x.attributes] or options)[:1]
+
+
 def visible_text(source: str | None) -> str:
     """All visible text of a page, laid out; null and empty pages have none."""
     if not source:
         return ""
     r = Renderer()
-    r.render(build(source))
+    _run(r.render(build(source)))
     return r.text()
 
 
