@@ -2,8 +2,9 @@
 
 Sections are what stands between blank lines (two line feeds), paragraphs what stands between line feeds, leaves runs of
 eight words. A paragraph's hash is SHA-256 of its text, a section's that of its paragraphs' hashes, the root's that of
-its sections' hashes; equal roots mean equal texts. The fingerprint writes the tree out:
-``root:section=paragraph.leaf.leaf|paragraph...;section=...`` with 64, 16, 16 and 8 hexadecimal digits.
+its sections' hashes; equal roots mean equal texts. Short paragraphs have leaves of two words. The fingerprint writes the
+tree out: ``root:section=paragraph.leaf.leaf|paragraph...;section=...`` with 64, 16, 16 and 8 hexadecimal digits. To
+locate edits, branches are followed down from the root only where hashes differ.
 """
 
 from __future__ import annotations
@@ -12,13 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-LEAF = "[^ ]+(?: +[^ ]+){0,7}"
-#: Rows that share a window, as long as there are at most so many windows (which bounds what is broadcast).
-ROWS, MOST_BUCKETS = 2000, 65_536
+LEAF, SHORT_LEAF = "[^ ]+(?: +[^ ]+){0,7}", "[^ ]+(?: +[^ ]+)?"
+#: Paragraphs of fewer code points are short.
+SHORT = 120
+#: Rows that share a window, as long as there are at most so many windows (which bounds what is broadcast: 24 MB). Beyond
+#: that windows grow; they stream from sorted, spilled rows.
+ROWS, MOST_BUCKETS = 2000, 1 << 20
+#: Quantiles of the ids between which buckets are equally wide, and their accuracy.
+STEPS, ACCURACY = 64, 20_000
 
 
 def _paragraph(p: Column) -> Column:
-    leaves = F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.substring(F.md5(x.cast("binary")), 1, 8))
+    runs = F.when(F.length(p) < SHORT, F.regexp_extract_all(p, F.lit(SHORT_LEAF), F.lit(0))).otherwise(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)))
+    leaves = F.transform(runs, lambda x: F.substring(F.md5(x.cast("binary")), 1, 8))
     return F.struct(F.sha2(p.cast("binary"), 256).alias("hash"), leaves.alias("leaves"))
 
 
@@ -65,25 +72,49 @@ def likeness(a: Column, b: Column) -> Column:
     return likeness_of_leaves(root(a) == root(b), leaves(a), leaves(b))
 
 
+def sections(print_: Column) -> Column:
+    """The sections of a fingerprint in order, each with its paragraphs."""
+    return F.split(F.substring_index(print_, ":", -1), ";")
+
+
 def edited_paragraphs(a: Column, b: Column) -> Column:
-    """Places (from 0) of the paragraphs of ``a`` that ``b`` has nowhere: where an edit lies."""
-    theirs = paragraphs(b)
-    at = F.transform(paragraphs(a), lambda h, i: F.when(~F.array_contains(theirs, h), i))
-    return F.filter(at, lambda i: i.isNotNull())
+    """Places (from 0) of the paragraphs of ``a`` that ``b`` has nowhere: where an edit lies.
+
+    Equal roots end the search, and so do sections that ``b`` has too; only the others are searched by paragraph.
+    """
+    theirs, known = paragraphs(b), F.transform(sections(b), lambda s: F.substring(s, 1, 16))
+    mine = lambda s: F.when(F.array_contains(known, F.substring(s, 1, 16)), F.transform(paragraphs(s), lambda h: F.lit(None).cast("string"))).otherwise(paragraphs(s))
+    at = F.transform(F.flatten(F.transform(sections(a), mine)), lambda h, i: F.when(h.isNotNull() & ~F.array_contains(theirs, h), i))
+    return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.filter(at, lambda i: i.isNotNull()))
+
+
+def _bucket(id_: Column, edges: list[float], per_step: int) -> Column:
+    """The bucket of an id: the step between two ``edges`` that it falls in, by halves, then evenly inside the step."""
+
+    def step(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            low, width = edges[lo], edges[hi] - edges[lo]
+            inside = F.least(F.greatest(F.floor((id_ - F.lit(low)) * F.lit(per_step / width)), F.lit(0)), F.lit(per_step - 1)) if width > 0 else F.lit(0).cast("long")
+            return inside + F.lit(lo * per_step)
+        middle = (lo + hi) // 2
+        return F.when(id_ < F.lit(edges[middle]), step(lo, middle)).otherwise(step(middle, hi))
+
+    return step(0, len(edges) - 1)
 
 
 def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     """``docs`` with ``next_<c>`` for each carried column, of the row with the next smaller id (the last's is the first).
 
-    Rows are dealt into buckets of neighbouring ids; each bucket also gets the first row of the next one as a guest, so
-    no window spans the table. Rows with a null id have no next.
+    Rows are dealt into buckets of neighbouring ids, between quantiles of the ids so that gaps and outliers among them
+    leave buckets alike; each bucket also gets the first row of the next one as a guest, so no window spans the table.
+    Rows with a null id have no next.
     """
     ids = docs.select(F.col(id_col).alias("id"))
-    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
-    buckets = max(1, min(MOST_BUCKETS, -(-(n or 0) // ROWS)))
-    low, high = low or 0, high or 0
-    width = (high - low) / buckets + 1e-9 if high > low else 1.0
-    bucket = F.floor((F.col("id").cast("double") - F.lit(float(low))) / F.lit(width))
+    got = ids.agg(F.percentile_approx("id", [k / STEPS for k in range(STEPS + 1)], ACCURACY).alias("q"), F.min("id").alias("low"), F.max("id").alias("high"), F.count("id").alias("n")).first()
+    high = got["high"] or 0
+    per_step = max(1, min(MOST_BUCKETS, -(-got["n"] // ROWS)) // STEPS)
+    edges = sorted({float(x) for x in [got["low"] or 0, *(got["q"] or []), high + 1]})
+    bucket = F.when(F.col("id").isNotNull(), _bucket(F.col("id").cast("double"), edges, per_step))
     tops = ids.where("id is not null").groupBy(bucket.alias("home")).agg(F.max("id").alias("top"))
     guests = tops.select(F.coalesce(F.lead("top").over(W.orderBy(F.desc("home"))), F.lit(high)).alias("id"), F.col("home").alias("visits"))
     rows = docs.withColumn("id", F.col(id_col)).withColumn("bucket", bucket).withColumn("guest", F.lit(0))

@@ -94,7 +94,7 @@ texts as (
   select doc_id, 0 as kind, text as t from edits union all select doc_id, 1, edited from edits union all select doc_id, 2, next_text from edits),
 parsed as (
   select doc_id, kind, list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p:
-      {'hash': sha256(p), 'leaves': list_transform(regexp_extract_all(p, '[^ ]+(?: +[^ ]+){0,7}'), lambda x: md5(x)[1:8])})) as tree
+      {'hash': sha256(p), 'leaves': list_transform(case when length(p) < 120 then regexp_extract_all(p, '[^ ]+(?: +[^ ]+)?') else regexp_extract_all(p, '[^ ]+(?: +[^ ]+){0,7}') end, lambda x: md5(x)[1:8])})) as tree
   from texts),
 sections as (
   select doc_id, kind, list_transform(tree, lambda ps: {'hash': sha256(array_to_string(list_transform(ps, lambda p: p.hash), ',')),

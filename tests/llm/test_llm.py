@@ -8,7 +8,10 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from gradewise.llm import ann, bpe, html_text, langid, line_dedup, merkle, minhash_dedup, packing, pieces, quality, texthash, url_filter
 from gradewise.llm.components import connected_components
@@ -63,6 +66,44 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(got[i].kept == (roots[i] == i) for i in got)
 
 
+def test_families_without_a_common_hub_match_brute_force(spark, monkeypatch):
+    """Chains of small edits: hubs link few of them, so blocks of a family have to find the rest."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
+    monkeypatch.setattr(minhash_dedup, "SIGN_BLOCK", 5)
+    rng, texts = random.Random(8), []
+    for c in range(3):
+        w = words(90, 40 + c, 4000).split()
+        for k in range(40):
+            texts.append(" ".join(w))
+            for _ in range(rng.choice([1, 2, 5])):
+                w[rng.randrange(len(w))] = f"y{c}_{k}_{rng.randrange(99)}"
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(documents(spark, texts), width=4).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components(texts, 4, 80)[1]
+
+
+def test_block_comparison_finds_what_hubs_miss():
+    sets = [np.unique(texthash.mix(np.arange(a, a + 100, dtype=np.uint64))) for a in (0, 5, 1000, 1008, 5000)]
+    rows = [(i, i, (minhash_dedup.signature(s) & np.uint64(0xFF)).astype(np.uint8).tobytes(), len(s), s.tobytes()) for i, s in enumerate(sets)]
+    low, high = minhash_dedup._Side(rows[::2]), minhash_dedup._Side(rows[1::2])
+    assert sorted(minhash_dedup._block_links(low, high, 80)) == [(0, 1), (2, 3)]
+    assert sorted(minhash_dedup._block_seekers(low, high, 80)) == [(0,), (1,), (2,), (3,)]
+    both = minhash_dedup._Side(rows)
+    assert sorted(tuple(sorted(x)) for x in minhash_dedup._block_links(both, both, 80)) == [(0, 1), (2, 3)]
+
+
+def test_near_duplicates_of_repeated_and_null_ids_and_long_texts(spark):
+    a, b, c = words(60, 1), words(60, 2), words(60_000, 3, 50_000)
+    texts = [a, b, b, b + " more", a, a, c, c.replace(" ", "\n") + " end", None, None]
+    ids = [4, 4, 1, 9, None, None, 20, 21, 3, 3]
+    got = minhash_dedup.near_duplicates(documents(spark, texts, ids)).collect()
+    assert len(got) == len(texts)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {4: 1, 1: 1, 9: 1, 20: 20, 21: 20, 3: 3}
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_dedup.near_duplicates(documents(spark, [])).count() == 0
 
@@ -288,6 +329,29 @@ def test_fingerprints(spark):
     assert len(odd) == 3 and [r.near_next for r in odd if r.doc_id is None] == [None]
 
 
+def test_next_rows_of_clustered_ids(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "ROWS", 3)
+    ids = [*range(400), 10**6, 10**12, 10**12 + 5, -7, 5 * 10**17]
+    texts = [f"text {i} " * (1 + abs(i) % 9) for i in ids]
+    rows = {r.doc_id: r for r in merkle.fingerprints(documents(spark, texts, ids)).collect()}
+    order = sorted(range(len(ids)), key=lambda k: -ids[k])
+    for k, i in enumerate(order):
+        t, n = texts[i], texts[order[(k + 1) % len(order)]]
+        assert rows[ids[i]].edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+
+
+def test_edits_are_located_by_branches(spark):
+    base = [[f"paragraph {s} {p} " + words(20, 10 * s + p) for p in range(3)] for s in range(4)]
+    other = [list(x) for x in base]
+    other[1][2], other[3][0] = "changed", other[3][0] + " more"
+    write = lambda x: "\n\n".join("\n".join(ps) for ps in x)
+    df = spark.createDataFrame([(write(base), write(other))], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+    got = df.select(merkle.edited_paragraphs(F.col("a"), F.col("b")).alias("x"), merkle.edited_paragraphs(F.col("a"), F.col("a")).alias("y"), merkle.likeness(F.col("a"), F.col("b")).alias("z")).first()
+    assert got.x == [5, 9] and got.y == [] and 0.7 < got.z < 1
+    short = spark.createDataFrame([("one two three four five six seven eight nine", "one two three four five six nine ten eleven")], "a string, b string")
+    assert short.select(merkle.likeness(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b")))).first()[0] > 0.4
+
+
 # --- operator 8 ------------------------------------------------------------------------------------------------------
 
 
@@ -342,6 +406,28 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
     assert ann.nearest(df.where("vec_id < 4")).count() == 3
 
 
+def test_recall_of_many_vectors(spark, tmp_path):
+    rng = np.random.RandomState(4)
+    x = (rng.standard_normal((50, 48))[rng.randint(50, size=50_000)] + 0.7 * rng.standard_normal((50_000, 48))).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": pa.array(list(x), pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    got = {}
+    for r in ann.nearest(df, every=2500).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(found))
+    assert len(got) == 20 and hits >= 0.98 * 200
+
+
+def test_repeated_ids_and_clashing_columns_of_vectors(spark):
+    rows = [(0, [1.0, 0.1], "a", 1), (0, [1.0, 0.1], "b", 2), (1, [1.0, 0.0], "c", 3), (1, [1.0, 0.2], "d", 4), (2, [0.0, 5.0], "e", 5)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, code string, qb int")).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 1), (0, 2, 1), (0, 3, 2)]
+
+
 # --- operator 10 -----------------------------------------------------------------------------------------------------
 
 
@@ -358,6 +444,90 @@ def test_broken_pages_keep_their_text(page):
     assert "<td>c" not in page or re.sub(r"\W", "", text) == "abc"
 
 
+@pytest.mark.parametrize("unit", ["<a '", "<a b", '<a ">"', "<a \"'>", "<b>x", "<ul><li>x", "<table><tr><td>x", "</i>x", "<p>x</b>", "<!--x", "&amp", "<i><table></i>x", "<select><option>x"])
+def test_time_grows_with_the_page(unit):
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        html_text.visible_text("<i>" + unit * n)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert min(seconds(8000) for _ in range(2)) < 20 * max(0.02, min(seconds(1000) for _ in range(2)))
+
+
+def test_deep_pages():
+    page = "<b>" * 450 + "<span hidden>secret</span>" + "<div>" * 5000 + "seen" + "</div>" * 5000 + "<ul><li>" * 3000 + "last"
+    text = html_text.visible_text(page)
+    assert "secret" not in text and text.split() == ["seen", *["-"] * 3000, "last"] or text.split() == ["seen", "-", "last"]
+
+
+def test_shown_parts_of_special_elements():
+    page = "<select><option>a<option selected>b</select><svg><title>no</title><text>drawn</text></svg><math><mi>x</mi><annotation>no</annotation></math><object>instead</object>"
+    assert re.findall(r"\w+", html_text.visible_text(page)) == ["b", "drawnxinstead"]
+    assert html_text.visible_text("<a title='1 > 0' href=x>go</a> <a href='x>y<b>on</b>") == "go yon"
+
+
+def plain_layout(page):
+    """A second renderer for pages of headings, paragraphs and lists of one level, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        blocks, skip, ordered, n = [""], 0, False, 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+            if tag in ("p", "h1", "h2", "ul", "ol"):
+                self.blocks.append("")
+            if tag in ("ul", "ol"):
+                self.ordered, self.n = tag == "ol", 0
+            if tag == "li":
+                self.n += 1
+                self.blocks[-1] += ("\n" if self.n > 1 else "") + (f"{self.n}. " if self.ordered else "- ")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+            if tag in ("p", "h1", "h2", "ul", "ol"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.blocks[-1] += re.sub(r"\s+", " ", data)
+
+    reader = Reader()
+    reader.blocks = [""]
+    reader.feed(page)
+    blocks = ["\n".join(x.strip() for x in b.split("\n")) for b in reader.blocks]
+    return "\n\n".join(b for b in blocks if b.strip())
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_layout_equals_a_plain_renderer(seed):
+    rng = random.Random(seed)
+
+    def words_(n):
+        return " ".join(f"w{rng.randrange(50)}" + rng.choice(["", " &amp;", "\n", ","]) for _ in range(n)).strip()
+
+    parts = []
+    for _ in range(12):
+        kind = rng.choice(["p", "h1", "h2", "ul", "ol", "script"])
+        if kind in ("ul", "ol"):
+            parts.append(f"<{kind}>" + "".join(f"<li>{words_(4)}</li>" for _ in range(rng.randrange(1, 5))) + f"</{kind}>")
+        else:
+            parts.append(f"<{kind}>{words_(6)}</{kind}>")
+    page = "<html><body>" + "".join(parts) + "</body></html>"
+    assert html_text.visible_text(page) == plain_layout(page)
+
+
+def test_extract_of_nothing_and_clashing_columns(spark):
+    schema = "page_id long, html string, text int, n_lines string"
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+    long = "<p>word</p>" * 50_000
+    got = html_text.extract(spark.createDataFrame([(2, long, 1, "x")], schema)).first()
+    assert got.n_lines == 99_999 and got.text.count("word") == 50_000
+
+
 def test_extract_rows(spark):
     rows = spark.createDataFrame([(1, "<p>a</p>", "t"), (1, "<p>a</p>", "t"), (None, None, "t")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_lines) for r in html_text.extract(rows).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
