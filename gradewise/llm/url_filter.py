@@ -21,8 +21,8 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
-#: Rules up to this many become one literal; they are asked for each page.
-MOST_RULES = 1000
+#: Rules up to this many become one expression; more are joined by host. Results are the same.
+INLINE_RULES = 100
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,8 +48,6 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     A rule fits its host and every subdomain, where the path starts with the rule's. Of rules of one length the first
     in the order of their texts wins.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; {MOST_RULES} at most")
     ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for h, p, verdict in reversed(ordered):
@@ -58,6 +56,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def with_rules(rows: DataFrame, rules=RULES) -> DataFrame:
+    """``rows`` (with ``host`` and ``path``) with ``fits``, the rule of each; any number of rules.
+
+    Many rules are a table that the hosts of distinct addresses, and their parent domains, are joined with.
+    """
+    if len(rules) <= INLINE_RULES:
+        return rows.withColumn("fits", rule_of(F.col("host"), F.col("path"), rules))
+    table = rows.sparkSession.createDataFrame([(h, p, v) for h, p, v in rules], "rule_host string, rule_path string, verdict string")
+    labels = F.split("host", "[.]")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    asked = rows.select("host", "path").distinct().withColumn("rule_host", F.explode(above)).join(table, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    rule = F.concat("rule_host", "rule_path")
+    best = asked.groupBy("host", "path").agg(F.min(F.struct((-F.length(rule)).alias("size"), rule.alias("rule"), F.col("verdict"))).alias("best"))
+    found = best.select("host", "path", F.struct("best.rule", "best.verdict").alias("fits"))
+    return rows.join(found, ["host", "path"], "left")
+
+
 #: A tag with its attributes; then an attribute's value in either quotes or none.
 _TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 
@@ -93,7 +108,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     found = rows.where("node is not null").select("node", "url", F.explode(links_of(F.col("html"))).alias("link"))
     edges = materialize(found.select(F.col("node").alias("src"), F.xxhash64(address_of(_absolute(F.col("link"), F.col("url")))).alias("dst"), _absolute(F.col("link"), F.col("url")).alias("to")).where("to is not null and src != dst").select("src", "dst").distinct(), "aliases")
     classes = materialize(connected_components(edges), "classes")
-    ruled = rows.withColumn("fits", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "node", "fits.rule", F.col("fits.verdict").alias("own"))
+    ruled = with_rules(rows, rules).select("page_id", "host", "path", "node", "fits.rule", F.col("fits.verdict").alias("own"))
     member = ruled.join(classes, ruled.node == classes.id, "left").drop("id")
     # only classes with edges are summed up: rows without aliases neither shuffle nor meet
     verdicts = (
