@@ -1,9 +1,9 @@
 """Line deduplication over every run of lines that is just long enough.
 
-A line is what a line feed ends; long lines also end after a sentence (a stop, then white space). From each line on, and
-back from each line, the shortest run of ``LEAST_WORDS`` words is a chunk, one line or several; its key is a rolling hash
+A line is what a line feed ends, or a sentence (a stop, then white space). From each line on, and back from each line, the
+shortest run of ``least_words`` words is a chunk, one line or several; its key is a rolling hash
 over the hashes of its lines. What a chunk holds depends on nothing around it, and the chunks inside a passage cover the
-passage, so any passage of ``LEAST_WORDS`` words or more that repeats whole lines goes whole. A chunk that occurs earlier
+passage, so any passage of ``least_words`` words or more that repeats whole lines goes whole. A chunk that occurs earlier
 (by document, then place) is removed once its bytes, white space at line ends apart, were compared with that first
 occurrence's. A removed line so always stays where it stands first, though what stood around it there may go.
 """
@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 from gradewise.llm.store import materialize, release
 from gradewise.llm.texthash import codepoints, groups_by_size, mix, span_hashes
 
-#: A chunk has so many words at least.
+#: A chunk has so many words at least, unless the caller says otherwise.
 LEAST_WORDS = 20
 _U = np.uint64
 _STOPS = np.array([ord(c) for c in ".!?"], dtype=np.uint32)
 
 
-def _chunks(texts: list[str]) -> tuple[np.ndarray, ...]:
+def _chunks(texts: list[str], least_words: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
     """Text, first code point, code point after the last, hash: of every chunk."""
     cps = codepoints("\n".join(texts) + "\n")
     sizes = np.array([len(t) + 1 for t in texts])
@@ -56,8 +56,8 @@ def _chunks(texts: list[str]) -> tuple[np.ndarray, ...]:
     total = np.concatenate(([0], np.cumsum(words)))
     begin, close = np.searchsorted(owner, owner), np.searchsorted(owner, owner, side="right")  # the lines of a line's text
     line = np.arange(n)
-    stop_at = np.searchsorted(total, total[:-1] + LEAST_WORDS)
-    start_at = np.searchsorted(total, total[1:] - LEAST_WORDS, side="right") - 1
+    stop_at = np.searchsorted(total, total[:-1] + least_words)
+    start_at = np.searchsorted(total, total[1:] - least_words, side="right") - 1
     onward, back = stop_at <= close, start_at >= begin
     pairs = np.unique(np.concatenate((line[onward] * (n + 1) + stop_at[onward], start_at[back] * (n + 1) + line[back] + 1)))
     since, upto = pairs // (n + 1), pairs % (n + 1)
@@ -84,13 +84,16 @@ def _inverse_weights(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=_U)
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, keys, texts = batch.column(0), batch.column(1), [t or "" for t in batch.column(2).to_pylist()]
-        for part in groups_by_size(np.array([len(t) for t in texts])):
-            doc, lo, hi, key = _chunks(texts[part])
-            at = pa.array(doc + part.start)
-            yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(key.view(np.int64))], names=["id", "text_key", "lo", "hi", "hash"])
+def _finder(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys, texts = batch.column(0), batch.column(1), [t or "" for t in batch.column(2).to_pylist()]
+            for part in groups_by_size(np.array([len(t) for t in texts])):
+                doc, lo, hi, key = _chunks(texts[part], least_words)
+                at = pa.array(doc + part.start)
+                yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(key.view(np.int64))], names=["id", "text_key", "lo", "hi", "hash"])
+
+    return run
 
 
 #: Bytes of quotes in one batch; bounds memory, not what is quoted.
@@ -194,10 +197,10 @@ def _remove(columns: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """All columns of ``docs``, the text without repeated chunks, and ``removed_chars`` (last; 0 where nothing went).
 
-    Every row stays, even where all its text goes. Of a chunk's occurrences the first by id (null last), hash of the
+    Every row stays, even where all its text goes. Shorter repeats than ``least_words`` words stay. Of a chunk's occurrences the first by id (null last), hash of the
     text and place stays; rows of one id and one text are alike, so both keep or lose the same. Null texts stay null,
     empty ones empty. Other columns pass through; one named ``removed_chars`` is replaced. An empty table gives no rows.
     """
@@ -205,7 +208,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(f"`{text_col}`").cast("string")
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), text.alias("text"))
     source = keyed.where("text is not null").select("id", "text_key", "text")
-    chunks = source.mapInArrow(_find, "id long, text_key long, lo long, hi long, hash long")
+    chunks = source.mapInArrow(_finder(least_words), "id long, text_key long, lo long, hi long, hash long")
     # one shuffle by hash; rows of one id and one text tie, so both are first
     places = W.partitionBy("hash").orderBy(F.asc_nulls_last("id"), "text_key", "lo")
     ranked = chunks.select("*", (F.rank().over(places) == 1).alias("first"), F.lead("hash").over(places).isNotNull().alias("more"))
