@@ -22,8 +22,9 @@ from gradewise.llm.sampling import bounded_sample
 
 UNKNOWN = "und"
 DIM, SIZES, CENTROIDS = 4096, (1, 2, 3), 4
-#: Bounds of the training sample: rows of a language, and languages (the commonest).
-PER_LANGUAGE, MOST_LANGUAGES = 600, 200
+#: Bounds of the training sample: rows of a language, fewer where that would make more rows than the second in all, but
+#: never fewer than the third.
+PER_LANGUAGE, ROWS, FEWEST = 600, 4000, 50
 #: A text is rejected beyond the distance that this share of training texts keeps, times ``SLACK``.
 KEPT_SHARE, SLACK = 0.995, 1.25
 
@@ -85,14 +86,15 @@ def spherical_means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.nd
 def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learn from text and language of ``rows`` (null languages and null texts are left out).
 
-    At most ``per_language`` texts of each of ``MOST_LANGUAGES`` languages, chosen by hash of the id, are read whole for
-    this; their n-gram counts (16 kB each) are what reaches the driver. No usable rows give a model that answers ``und``.
+    At most ``per_language`` texts of each language, chosen by hash of the id, are read whole for this; their n-gram
+    counts (16 kB each) are what reaches the driver, so it grows with the languages, not with the rows. Every language
+    can be predicted. Rows that repeat an id are all read; other columns are not. No usable rows, as in an empty table,
+    give a model that answers ``und``.
     """
     named = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     named = named.where("text is not null and lang is not null")
-    languages_seen = min(MOST_LANGUAGES, max(1, named.select(F.approx_count_distinct("lang")).first()[0]))
-    per_language = min(per_language, max(50, 4000 // languages_seen))
-    picked = bounded_sample(named, "lang", per_language, MOST_LANGUAGES)
+    seen = max(1, named.select(F.approx_count_distinct("lang")).first()[0])
+    picked = bounded_sample(named, "lang", min(per_language, max(FEWEST, ROWS // seen)))
     texts = named.select("id", "text").join(F.broadcast(picked), "id").select("lang", "text")
     got = sorted((r["lang"], bytes(r["counts"])) for r in texts.mapInArrow(_counts, "lang string, counts binary").collect())
     if not got:

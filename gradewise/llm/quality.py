@@ -89,11 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from the texts that ``labels`` marks 0 or 1 (others and nulls are left out).
 
     At most ``per_label`` rows of each label, chosen by hash of the id, are read whole; the buckets that they hit (two
-    bytes each) are what reaches the driver. Without both labels the model scores every text with the share of ones.
+    bytes each) are what reaches the driver. Ids that repeat are taken once a label row and all their texts are read; other
+    columns are not read; empty tables are tables without labels. Without both labels the model scores every text with the share of ones.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    picked = bounded_sample(marked, "label", per_label, 2)
+    picked = bounded_sample(marked, "label", per_label)
     rows = texts.join(F.broadcast(picked), "id").select("id", "label", "text").mapInArrow(_hits, "id long, label int, hits binary").collect()
     rows = sorted((r["id"], r["label"], bytes(r["hits"])) for r in rows)
     y = np.array([r[1] for r in rows], dtype=np.float64)

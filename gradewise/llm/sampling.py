@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, most_labels: int, key: str = "id") -> DataFrame:
-    """``key, label`` of up to ``per_label`` rows of each of the ``most_labels`` commonest labels, in hash order.
+#: Parts that a label's rows are limited in before they meet.
+PARTS = 64
 
-    The limit of each label is applied in every task before rows are dealt out, so no label's rows meet as a whole.
+
+def bounded_sample(rows: DataFrame, label: str, per_label: int, key: str = "id") -> DataFrame:
+    """``key, label`` of up to ``per_label`` rows of each label, in hash order.
+
+    Each label is limited in every task, then in ``PARTS`` parts, then as a whole: no task gets more than ``per_label``
+    rows a part, whatever share of the rows a label has.
     """
-    order = W.partitionBy(label).orderBy(F.xxhash64(key), key)
-    common = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(most_labels).select(label)
-    picked = rows.select(key, label).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label).drop("place")
-    return picked.join(F.broadcast(common), label, "left_semi").dropDuplicates([key]).select(key, label)
+    order = [F.xxhash64(key), key]
+    part = F.pmod(F.xxhash64(key, F.lit(9)), F.lit(PARTS))
+    limited = lambda df, *by: df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("place") <= per_label).drop("place")
+    picked = limited(limited(rows.select(key, label).withColumn("part", part), label, "part"), label)
+    return picked.dropDuplicates([key]).select(key, label)

@@ -183,6 +183,16 @@ def test_short_repeated_passages_go_whole(spark, sentences):
     assert all(rows[k].split() == texts[k].replace(passages[k % 40], "").split() for k in range(40, 80))
 
 
+def test_line_dedup_of_odd_tables(spark):
+    long = "\n".join(words(12, k, 9000) + "." for k in range(9000))
+    texts = [long, "own start of a text.\n" + long, None, None, "", "a b c.", "a b c."]
+    docs = documents(spark, texts, [5, 6, None, 7, 7, 8, 9]).withColumn("removed_chars", F.lit("x"))
+    rows = line_dedup.dedup_lines(docs).collect()
+    assert sorted(((r.doc_id or 0), len(r.text) if r.text is not None else -1) for r in rows) == [(0, -1), (5, len(long)), (6, 21), (7, -1), (7, 0), (8, 6), (9, 6)]
+    short = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, least_words=3).collect()}
+    assert short[8] == "a b c." and short[9] == ""
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
@@ -297,6 +307,61 @@ def test_language_by_held_out_texts(spark):
     assert langid.identify(docs, empty).where("lang_pred = 'und'").count() == len(rows)
 
 
+def test_many_languages(spark):
+    rows = [(k, " ".join([chr(0x4E00 + 9 * (k % 260) + j) * 2 for j in range(6)] * 3), f"l{k % 260}") for k in range(1040)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.id: r.lang_pred for r in langid.identify(df, langid.fit(df.where("doc_id < 780"))).collect()}
+    assert np.mean([got[k] == x for k, _, x in rows[780:]]) > 0.95
+
+
+def test_samples_are_bounded_and_repeatable(spark):
+    from gradewise.llm.sampling import bounded_sample
+
+    rows = spark.range(20_000).withColumn("label", (F.col("id") % 50 == 0).cast("int")).withColumn("part", F.lit("x"))
+    one, two = (sorted(map(tuple, bounded_sample(x, "label", 300).collect())) for x in (rows, rows.repartition(7)))
+    assert one == two and [sum(r[1] == v for r in one) for v in (0, 1)] == [300, 300]
+
+
+def test_dual_coordinate_descent_equals_a_plain_solver():
+    rng = np.random.RandomState(3)
+    x = rng.standard_normal((80, 6))
+    y = np.sign(x @ rng.standard_normal(6) + 0.5 * rng.standard_normal(80))
+    cost = np.full(80, 0.3)
+    w = quality.dual_coordinate_descent([np.arange(6)] * 80, list(x), y, cost, 6, epochs=3000)
+
+    def loss(v):
+        return v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v[:6] + v[6]))).sum()
+
+    plain = best = np.zeros(7)
+    for t in range(1, 20_000):  # subgradient steps
+        active = (y * (x @ plain[:6] + plain[6]) < 1) * cost * y
+        plain = plain - (plain - np.append(x.T @ active, active.sum())) / t**0.9
+        best = plain if loss(plain) < loss(best) else best
+    assert loss(w) <= loss(best) * 1.001
+
+
+def test_centroids_are_local_optima():
+    rng = np.random.RandomState(1)
+    x = np.abs(rng.standard_normal((3, 20)))[rng.randint(3, size=200)] + 0.1 * np.abs(rng.standard_normal((200, 20)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = langid.spherical_means(x, 3, 5)
+    own = (x @ c.T).argmax(axis=1)
+    means = np.array([x[own == j].sum(axis=0) for j in range(3)])
+    assert np.allclose(c, means / np.linalg.norm(means, axis=1, keepdims=True)) and (x @ c.T).max(axis=1).min() > 0.9
+
+
+def test_classifiers_of_odd_tables(spark):
+    docs = documents(spark, [None, "", "a" * 400_000, "text one", "text one"], [1, 2, 3, None, 5])
+    labels = spark.createDataFrame([(3, 1, "z"), (5, 0, "z"), (5, 0, "z"), (None, 1, "z")], "doc_id long, quality int, text string")
+    model = quality.fit(docs, labels)
+    assert quality.score(docs, model).count() == 5 and quality.score(documents(spark, []), model).count() == 0
+    assert quality.accepted(docs, model).columns == docs.columns
+    named = docs.withColumn("lang", F.lit("aa"))
+    speech = langid.fit(named)
+    assert langid.identify(named, speech).count() == 5 and langid.identify(documents(spark, []), speech).count() == 0
+    assert langid.fit(named.where("false")).languages == []
+
+
 def test_quality_by_held_out_texts(spark):
     rng = random.Random(2)
     rows = [(k, words(40, k) if k % 3 else " ".join(rng.choice(["###", "$$$", "!!", "zz%"]) for _ in range(40))) for k in range(300)] + [(999, None), (998, "")]
@@ -373,6 +438,21 @@ def test_urls_rules_and_aliases(spark):
     assert url_filter.judge(none).count() == 0
 
 
+def test_many_rules_are_joined(spark):
+    rules = [(f"h{k}.com", f"/{k % 7}", "block") for k in range(400)] + list(url_filter.RULES)
+    pages = [(k, f"http://x.h{k % 450}.com/{k % 7}{k}" if k % 3 else f"https://example.com/en/{k}", "", "x") for k in range(300)] + [(900, None, None, "x")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
+    rows = df.select("page_id", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+
+    def plain_rule(host, path):
+        fits = [(-len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return min(fits)[1:] if fits else None
+
+    plain = {r.page_id: plain_rule(r.host, r.path) for r in rows.collect()}
+    assert {r.page_id: r.fits and tuple(r.fits) for r in url_filter.with_rules(rows, rules).collect()} == plain
+    assert len({x for x in plain.values() if x}) > 100 and url_filter.judge(df, rules).count() == 301
+
+
 def test_block_reaches_aliases(spark):
     pages = [(1, "http://a.com/en/1", ""), (2, "http://b.org/1", '<link href="http://a.com/en/1" rel=canonical>')]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
