@@ -1,8 +1,8 @@
 """Discrimination and calibration of scores for any grouping, in a fixed number of passes over the rows.
 
-Rows first collapse into a histogram of (keys, score). Running totals over it come from two levels: totals of score
-ranges inside each group, then windows inside one range, so no group's rows meet in one task. Everything else (AUC, KS,
-quantile bins) reads the histogram.
+Rows first collapse into counts of (keys, score), which are written once; nothing reads the rows again. Running totals
+over them come from two levels: totals of score ranges inside each group, then windows inside one range, so no group's
+rows meet in one task. Everything else (moments, AUC, KS, quantile bins) reads the counts or their running totals.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from pyspark.sql import Window as W
 
 from gradewise.functions.columns import clipped, finite
 from gradewise.plans.spec import OVERALL_SEGMENT_COL, OVERALL_SEGMENT_VALUE
+from gradewise.sources.shared import materialize
 
-#: Score ranges of a group that have windows of their own.
-RANGES = 4096
+#: Score ranges of a group that have windows of their own: evenly spaced log-odds between 0 and 1, where scores of low
+#: default books crowd, and fewer on either side.
+RANGES, OUTER = 4096, 1024
 
 
 def to_cells(df: DataFrame, segment_cols: list[str], overall: bool = True) -> DataFrame:
@@ -26,20 +28,46 @@ def to_cells(df: DataFrame, segment_cols: list[str], overall: bool = True) -> Da
     return df.select("*", F.explode(F.array(*cells)).alias("cell_")).select("cell_.*", *[c for c in df.columns if c not in ("segment_col", "segment_value")])
 
 
-def histogram(df: DataFrame, keys: list[str], y: str, p: str, clip: bool = True) -> DataFrame:
-    """``keys, p_, n, b, n_below, b_below, nn, bb``: rows and events at each score, below it, and of the whole group."""
+def score_counts(df: DataFrame, keys: list[str], y: str, p: str, clip: bool = True) -> DataFrame:
+    """``keys, p_, n, b``: rows and events at each score (null where it is unknown), from one pass over ``df``."""
     score = clipped(F.col(p)) if clip else finite(F.col(p))
-    rows = df.where(F.col(p).isNotNull()).select(*keys, score.alias("p_"), F.col(y).cast("double").alias("y_"))
-    hist = rows.where("p_ is not null").groupBy(*keys, "p_").agg(F.count("*").alias("n"), F.sum("y_").alias("b"))
-    squashed = F.col("p_") / (1 + F.abs("p_"))
-    hist = hist.withColumn("range_", F.floor((squashed + 1) * (RANGES / 2)))
+    rows = df.select(*keys, F.when(F.col(p).isNotNull(), score).alias("p_"), F.col(y).cast("double").alias("y_"))
+    return materialize(rows.groupBy(*keys, "p_").agg(F.count("*").alias("n"), F.coalesce(F.sum("y_"), F.lit(0.0)).alias("b")), "scores")
+
+
+def rolled_up(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts for fewer keys."""
+    return counts.groupBy(*keys, "p_").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+
+
+def _range(p: Column) -> Column:
+    odds = F.ln(p / (1 - p))
+    inner = OUTER + 1 + F.floor((F.least(F.greatest(odds, F.lit(-20.0)), F.lit(20.0)) + 20) * (RANGES / 40))
+    outer = F.floor(p / (1 + F.abs(p)) * OUTER)
+    return F.when(p <= 0, outer + OUTER).when(p < 1, inner).otherwise(outer + OUTER + RANGES + 2)
+
+
+def running_totals(hist: DataFrame, keys: list[str], names: dict[str, tuple[str, str]]) -> DataFrame:
+    """``hist`` (a row a key and ``p_``) with, for each column, its total below ``p_`` and of the whole group."""
+    hist = hist.withColumn("range_", _range(F.col("p_")))
     before = W.partitionBy(*keys).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
-    ranges = hist.groupBy(*keys, "range_").agg(F.sum("n").alias("rn"), F.sum("b").alias("rb"))
-    whole = W.partitionBy(*keys)
-    ranges = ranges.select(*keys, "range_", F.sum("rn").over(whole).alias("nn"), F.sum("rb").over(whole).alias("bb"), F.coalesce(F.sum("rn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("rb").over(before), F.lit(0.0)).alias("b0"))
     inside = W.partitionBy(*keys, "range_").orderBy("p_").rowsBetween(W.unboundedPreceding, -1)
-    hist = hist.withColumn("n1", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("b1", F.coalesce(F.sum("b").over(inside), F.lit(0.0)))
-    return hist.join(ranges, [*keys, "range_"]).select(*keys, "p_", "n", "b", (F.col("n0") + F.col("n1")).alias("n_below"), (F.col("b0") + F.col("b1")).alias("b_below"), "nn", "bb")
+    ranges = hist.groupBy(*keys, "range_").agg(*[F.sum(c).alias(c) for c in names])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    ranges = ranges.select(*keys, "range_", *[x for c, (below, whole) in names.items() for x in (zero(F.sum(c).over(before)).alias(f"{below}0_"), F.sum(c).over(W.partitionBy(*keys)).alias(whole))])
+    own = hist.select("*", *[zero(F.sum(c).over(inside)).alias(f"{below}1_") for c, (below, _) in names.items()])
+    joined = own.join(ranges, [*keys, "range_"])
+    return joined.select(*[c for c in hist.columns if c != "range_"], *[x for below, whole in names.values() for x in ((F.col(f"{below}0_") + F.col(f"{below}1_")).alias(below), F.col(whole))])
+
+
+def histogram_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, p_, n, b, n_below, b_below, nn, bb``: rows and events at each score, below it, and of the whole group."""
+    known = counts.where("p_ is not null").select(*keys, "p_", "n", "b")
+    return running_totals(known, keys, {"n": ("n_below", "nn"), "b": ("b_below", "bb")}).select(*keys, "p_", "n", "b", "n_below", "b_below", "nn", "bb")
+
+
+def histogram(df: DataFrame, keys: list[str], y: str, p: str, clip: bool = True) -> DataFrame:
+    return histogram_of(score_counts(df, keys, y, p, clip), keys)
 
 
 def rank_metrics(hist: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,16 +138,33 @@ def moments(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     )
 
 
-def performance_bundle(df: DataFrame, keys: list[str], y: str, p: str, n_ece_bins: int = 10) -> DataFrame:
-    """All of it, a row a group."""
-    hist = histogram(df, keys, y, p)
-    parts = [moments(df, keys, y, p), rank_metrics(hist, keys), calibration(hist, keys, n_ece_bins)]
-    out = parts[0]
-    for x in parts[1:]:
+def moments_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``moments`` gives, from counts of clipped scores (outcomes are known)."""
+    n, b, p = F.col("n"), F.col("b"), F.col("p_")
+    scored = F.sum(F.when(p.isNotNull(), n))
+    rate, mean = F.sum(b) / F.sum(n), F.sum(n * p) / scored
+    both = (F.sum(b) > 0) & (F.sum(b) < F.sum(n))
+    loss = -F.sum(b * F.ln(p) + (n - b) * F.ln(1 - p)) / scored
+    return counts.groupBy(*keys).agg(
+        F.sum(n).alias("n"), F.sum(b).cast("long").alias("defaults"), rate.alias("obs_rate"), mean.alias("mean_pd"), (rate / mean).alias("oe"),
+        (F.sum(b * (1 - p) ** 2 + (n - b) * p**2) / scored).alias("brier"), F.when(both, loss).alias("logloss"),
+    )
+
+
+def performance_of(counts: DataFrame, keys: list[str], n_ece_bins: int = 10) -> DataFrame:
+    """All metrics of each group, from its counts."""
+    hist = histogram_of(counts, keys)
+    out = moments_of(counts, keys)
+    for x in (rank_metrics(hist, keys), calibration(hist, keys, n_ece_bins)):
         out = out.join(x, keys) if keys else out.crossJoin(x)
     return out
 
 
+def performance_bundle(df: DataFrame, keys: list[str], y: str, p: str, n_ece_bins: int = 10) -> DataFrame:
+    """All of it, a row a group, from one pass over ``df``."""
+    return performance_of(score_counts(df, keys, y, p), keys, n_ece_bins)
+
+
 def gini_standard_error(gini: Column, bads: Column, goods: Column) -> Column:
     """Twice the Hanley-McNeil standard error of the AUC, folded to at least a half."""
     auc = F.greatest((gini + 1) / 2, 1 - (gini + 1) / 2)

@@ -140,8 +140,10 @@ def evaluate_segments(df: DataFrame, cols: ScorecardColumns, gates: Gates | None
     for r in facts.select(*CELL, "q1_verdict", "failed_pillars", "shape_divergent").collect():
         failed, overall = (r["failed_pillars"] or "").split(";"), is_overall_segment(r["segment_col"], r["segment_value"])
         whatif = overall and portfolio_whatif
-        do_recal = whatif or "calibration" in failed
-        do_refit = whatif or (not overall and r["q1_verdict"] != "INCONCLUSIVE" and ("rank_order" in failed or bool(r["shape_divergent"])))
+        weak = r["q1_verdict"] == "WEAK"
+        do_refit = whatif or not overall and (weak and "rank_order" in failed or bool(r["shape_divergent"]))
+        # a cell that is refitted is recalibrated too, so that both can be compared
+        do_recal = do_refit or weak and "calibration" in failed and (overall or "rank_order" not in failed)
         if do_recal or do_refit:
             cell = obs if overall else obs.where(F.coalesce(F.col(r["segment_col"]).cast("string"), F.lit("nan")) == r["segment_value"])
             row, made = _holdout(cell, cols, g, do_refit, do_recal, grouping, (r["segment_col"], r["segment_value"]))

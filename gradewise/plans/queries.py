@@ -87,9 +87,9 @@ FULL = f"with {CELLS}, {_hist('segment_col, segment_value', 'cells')}, {RANKS},
 
 @query("segment_gini", f"with {CELLS}, {_hist('segment_col, segment_value', 'cells')}, {RANKS}, {MOMENTS} select segment_col, segment_value, n, defaults, round(obs_rate, 6) as obs_rate, round(mean_pd, 6) as mean_pd, round(oe, 6) as oe, round(brier, 6) as brier, round(gini, 6) as gini from moments join ranks using (segment_col, segment_value)")
 def segment_gini(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    ranks = M.rank_metrics(M.histogram(cells, CELL, "y", "pd"), CELL).select(*CELL, "gini")
-    out = M.moments(cells, CELL, "y", "pd").join(ranks, CELL).select(*CELL, "n", "defaults", "obs_rate", "mean_pd", "oe", "brier", "gini")
+    counts = M.score_counts(_cells(spark, sf_dir), CELL, "y", "pd")
+    ranks = M.rank_metrics(M.histogram_of(counts, CELL), CELL).select(*CELL, "gini")
+    out = M.moments_of(counts, CELL).join(ranks, CELL).select(*CELL, "n", "defaults", "obs_rate", "mean_pd", "oe", "brier", "gini")
     return _rounded(out, "obs_rate", "mean_pd", "oe", "brier", "gini")
 
 
@@ -144,22 +144,27 @@ RATIO = """vplaced as (select *, row_number() over (partition by segment_col, se
 ratios as (select segment_col, segment_value, max_by(gini, vintage) / avg(case when place <= greatest(k // 2, 1) then gini end) as ratio, count(*) as k from vplaced group by segment_col, segment_value having count(*) >= 2)"""
 
 
-def _vintages(spark, sf_dir):
+def _dated_counts(spark, sf_dir):
+    """Scores of (cell, vintage); cells' own counts are their sums."""
+    rows = _cells(spark, sf_dir).withColumn("vintage", vintage(F.col("score_date")))
+    return M.score_counts(rows, [*CELL, "vintage"], "y", "pd")
+
+
+def _vintages(counts):
     keys = [*CELL, "vintage"]
-    rows = _cells(spark, sf_dir).withColumn("vintage", vintage(F.col("score_date"))).where("vintage is not null")
-    hist = M.histogram(rows, keys, "y", "pd")
+    hist = M.histogram_of(counts.where("vintage is not null"), keys)
     sums = hist.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("b").alias("defaults"), (F.sum("b") / F.sum(F.col("n") * F.col("p_"))).alias("oe"))
     return sums.join(M.rank_metrics(hist, keys).select(*keys, "gini"), keys)
 
 
 @query("vintage_table", f"with {VINT} select segment_col, segment_value, vintage, n, defaults, round(gini, 6) as gini, round(oe, 6) as oe from vgini")
 def vintage_table(spark, sf_dir):
-    return _rounded(_vintages(spark, sf_dir).select(*CELL, "vintage", "n", "defaults", "gini", "oe"), "gini", "oe")
+    return _rounded(_vintages(_dated_counts(spark, sf_dir)).select(*CELL, "vintage", "n", "defaults", "gini", "oe"), "gini", "oe")
 
 
 @query("vintage_ratio", f"with {VINT}, {RATIO} select segment_col, segment_value, round(ratio, 6) as latest_to_early_gini_ratio, cast(k as integer) as n_vintages from ratios")
 def vintage_ratio(spark, sf_dir):
-    return _rounded(M.vintage_ratio(_vintages(spark, sf_dir), CELL), "latest_to_early_gini_ratio")
+    return _rounded(M.vintage_ratio(_vintages(_dated_counts(spark, sf_dir)), CELL), "latest_to_early_gini_ratio")
 
 
 Q1_SQL = FULL + f""", {VTAIL}, {RATIO},
@@ -171,9 +176,10 @@ select segment_col, segment_value, n, defaults, case when not power then 'INCONC
 
 
 def _verdicts(spark, sf_dir):
-    perf = M.performance_bundle(_cells(spark, sf_dir), CELL, "y", "pd")
+    counts = _dated_counts(spark, sf_dir)
+    perf = M.performance_of(M.rolled_up(counts, CELL), CELL)
     pooled = perf.where("segment_col = '__overall__'").select(F.col("gini").alias("pooled_gini"))
-    facts = perf.join(M.vintage_ratio(_vintages(spark, sf_dir), CELL), CELL, "left").crossJoin(F.broadcast(pooled))
+    facts = perf.join(M.vintage_ratio(_vintages(counts), CELL), CELL, "left").crossJoin(F.broadcast(pooled))
     c = F.col
     verdict, pillars = D.q1_verdict(c("n"), c("defaults"), c("gini"), F.lit(None).cast("double"), c("pooled_gini"), c("oe"), c("ece"), c("latest_to_early_gini_ratio"), GATES)
     return facts.withColumn("q1_verdict", verdict).withColumn("failed_pillars", pillars)
