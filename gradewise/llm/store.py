@@ -1,48 +1,5 @@
 """Lineage cuts in the folder that driver and executors share."""
 
-from __future__ import annotations
+from gradewise.sources.shared import materialize, release, shared_folder
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset (tests, local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "gradewise-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: executors may be lost without replaying its plan.
-
-    The files go when the session's JVM ends, or earlier through ``release``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, p = _path(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._gradewise_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete the files of frames made by ``materialize`` that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_gradewise_path", None)
-        if path:
-            fs, p = _path(df.sparkSession, path)
-            fs.delete(p, True)
+__all__ = ["materialize", "release", "shared_folder"]
