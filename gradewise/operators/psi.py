@@ -95,11 +95,20 @@ def psi_for_feature(segment: DataFrame, reference: DataFrame, feature: str, spec
     return psi_table(segment, reference, [feature], grouping, n_bins=n_bins, categorical_features=(feature,) if treat_as == "categorical" else ())
 
 
-def out_of_range_share(segment: DataFrame, reference: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
-    """Share of known values outside the reference's range."""
-    bounds = reference.agg(*[x for i, f in enumerate(features) for x in (F.min(finite(F.col(f))).alias(f"lo{i}"), F.max(finite(F.col(f))).alias(f"hi{i}"))])
+def out_of_range_share(segment: DataFrame, reference: DataFrame, features: list[str], keys: list[str], grouping: BinningModel | None = None) -> DataFrame:
+    """Share of known values outside the reference's range; for grouped levels, share of rows whose level no group has."""
+    specs = grouping.specs if grouping else {}
+    by_level = [f for f in features if f in specs and specs[f].kind != "numeric"]
+    bounds = reference.agg(F.lit(1).alias("one_"), *[x for i, f in enumerate(features) if f not in by_level for x in (F.min(finite(F.col(f))).alias(f"lo{i}"), F.max(finite(F.col(f))).alias(f"hi{i}"))])
+
+    def out(i: int, f: str) -> Column:
+        if f in by_level:
+            known = [x for members in (specs[f].groups or {}).values() for x in members]
+            return ~levels(F.col(f)).isin(MISSING, *known)
+        return (finite(F.col(f)) < F.col(f"lo{i}")) | (finite(F.col(f)) > F.col(f"hi{i}"))
+
     wide = segment.select(*keys, *features).crossJoin(F.broadcast(bounds))
-    pairs = [F.struct(F.lit(f).alias("feature"), ((finite(F.col(f)) < F.col(f"lo{i}")) | (finite(F.col(f)) > F.col(f"hi{i}"))).alias("out")) for i, f in enumerate(features)]
+    pairs = [F.struct(F.lit(f).alias("feature"), out(i, f).alias("out")) for i, f in enumerate(features)]
     return wide.select(*keys, F.explode(F.array(*pairs)).alias("x_")).groupBy(*keys, "x_.feature").agg(F.avg(F.col("x_.out").cast("double")).alias("out_of_range_share"))
 
 

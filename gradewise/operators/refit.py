@@ -194,6 +194,35 @@ def spawn_seeds(base_seed: int, n: int) -> list[int]:
     return [int(s.generate_state(1)[0]) for s in np.random.SeedSequence(base_seed).spawn(n)]
 
 
+def seed_sequence_for(base_seed: int, index: int) -> np.random.SeedSequence:
+    """The seeds of one numbered piece of work."""
+    return np.random.SeedSequence([int(base_seed), int(index)])
+
+
+def rng_for(base_seed: int, index: int) -> np.random.Generator:
+    return np.random.default_rng(seed_sequence_for(base_seed, index))
+
+
+@dataclass(frozen=True)
+class LogisticModel:
+    """A logistic model that is given by its numbers; scores as a column."""
+
+    coefficients: dict[str, float]
+    intercept: float
+
+    def predict_proba(self) -> Column:
+        return sigmoid(sum((F.col(f).cast("double") * F.lit(b) for f, b in self.coefficients.items()), F.lit(self.intercept)))
+
+
+def logistic_from_coefficients(feature_names: list[str], coefficients: list[float], intercept: float) -> LogisticModel:
+    return LogisticModel(dict(zip(feature_names, map(float, coefficients), strict=True)), float(intercept))
+
+
+def refit_same_predictors(train: DataFrame, holdout: DataFrame, pred_cols: list[str], target_col: str, gates: Gates | None = None, output: str = "p_refit", **options) -> DataFrame:
+    """``holdout`` with the probabilities, in ``output``, of a model refitted on ``train`` with the same predictors."""
+    return holdout.withColumn(output, refit_with_diagnostics(train, pred_cols, target_col, gates, **options).artifact.predict_proba(holdout.columns))
+
+
 def _gini(score: np.ndarray, bad: np.ndarray, n: np.ndarray) -> float:
     order = np.argsort(score, kind="stable")
     s, b, g = score[order], bad[order], (n - bad)[order]
@@ -234,7 +263,7 @@ def bootstrap_ginis(df: DataFrame, y: str, scores: list[str], n_bootstrap: int =
                 out.append((replicate, *[_gini(data[:, i], drawn * data[:, k], drawn) for i in range(k)]))
             yield pd.DataFrame(out, columns=["replicate", *[f"g{i}" for i in range(k)]])
 
-    return seeds.repartition(8).mapInPandas(draw, "replicate long, " + ", ".join(f"g{i} double" for i in range(k)))
+    return seeds.repartition(spark.sparkContext.defaultParallelism).mapInPandas(draw, "replicate long, " + ", ".join(f"g{i} double" for i in range(k)))
 
 
 def _interval(df: DataFrame, draws: Column, point: float | None, z: float, names: tuple[str, str]) -> dict:

@@ -47,6 +47,23 @@ def recommendations(result: SegmentEvalResult, gates: Gates | None = None) -> Da
     return rows.select(rank.alias("rank"), *rows.columns).orderBy("rank")
 
 
+def kpis(result: SegmentEvalResult) -> dict[str, object]:
+    """Headline figures: the book's Gini and verdict, the number of segments, and cells by recommended action."""
+    d = result.decisions
+    overall = F.col("segment_col") == "__overall__"
+    counts = [F.count_if(F.col("q2_action") == a).alias(a) for a in ("SPLIT", "REFIT", "RECALIBRATE", "MONITOR")]
+    r = d.agg(F.max(F.when(overall, F.col("gini"))).alias("gini"), F.max(F.when(overall, F.col("q1_verdict"))).alias("q1"), F.count_if(~overall).alias("n"), *counts).first()
+    rows = result.metrics.where(overall).agg(F.max("n_ttd").alias("rows"), F.max("n").alias("observable")).first()
+    return {"Rows": rows["rows"], "Observable": rows["observable"], "Portfolio Gini": r["gini"], "Portfolio Q1": r["q1"] or "-", "Segments": r["n"]} | {a.capitalize(): r[a] for a in ("SPLIT", "REFIT", "RECALIBRATE", "MONITOR")}
+
+
+def next_actions(result: SegmentEvalResult) -> DataFrame:
+    """``action, cells, names``: cells grouped by what to do about them, most urgent first; no row for cells to keep."""
+    order = F.create_map(*[F.lit(x) for kv in ACTION_PRIORITY.items() for x in kv])[F.col("action")]
+    named = result.decisions.where(~F.col("q2_action").isin("KEEP_POOLED", "NONE")).select(F.col("q2_action").alias("action"), F.concat_ws(" = ", "segment_col", "segment_value").alias("cell"))
+    return named.groupBy("action").agg(F.count("*").alias("cells"), F.concat_ws("; ", F.array_sort(F.collect_list("cell"))).alias("names")).orderBy(order, "action")
+
+
 def _cell(v) -> str:
     return "n/a" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
 
@@ -94,6 +111,27 @@ def _sections(result: SegmentEvalResult, recs: DataFrame | None) -> list[tuple[s
     ]
 
 
+def _material(result: SegmentEvalResult, recs: DataFrame | None) -> list[tuple[str, str, DataFrame | None]]:
+    """The sections of the condensed report: rows that ask for something, and what speaks for it."""
+    d = result.decisions
+    asking = d.where(~F.col("q2_action").isin("KEEP_POOLED", "NONE") | F.col("ar_artifact_suspected") | (F.col("important") & (F.col("q1_verdict") == "WEAK"))).select("segment_col", "segment_value")
+    shaky = d.where(F.col("failed_pillars").contains("stability")).select("segment_col", "segment_value")
+    cell = ["segment_col", "segment_value"]
+    only = lambda df, of: df.join(F.broadcast(of), cell, "left_semi") if df is not None else None
+    full = {a: (t, df) for a, t, df in _sections(result, recs)}
+    worst = result.characteristics.where("psi >= 0.25").groupBy("feature").agg(F.max("psi").alias("max_psi"), F.count("*").alias("cells")).orderBy(F.desc("max_psi")) if result.characteristics is not None else None
+    rows = {
+        "next": ("Next actions", next_actions(result)),
+        "verdicts": ("Cells to act on", only(decision_table(result), asking).orderBy(F.desc("important"), F.desc("volume_share"))),
+        "calibration": ("Calibration of cells to act on", only(result.metrics.select(*cell, "n", "defaults", "obs_rate", "mean_pd", "oe", "ece"), asking)),
+        "matched-ar": full["matched-ar"],
+        "drift": ("Drifted characteristics", worst),
+        "refit": full["refit"],
+        "vintages": ("Vintages of unstable cells", only(result.vintages, shaky)),
+    }
+    return [(a, t, df) for a, (t, df) in rows.items()]
+
+
 STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:3px 7px}.frozen{overflow-x:auto}.frozen td:first-child,.frozen th:first-child{position:sticky;left:0;background:#fff}"
 
 
@@ -104,12 +142,13 @@ def _page(title: str, body: str) -> str:
 def render_html_report(result: SegmentEvalResult, title: str = "Segment scorecard evaluation", gates: Gates | None = None, recs: DataFrame | None = None) -> str:
     g = "".join(f"<li>{html_safe(k)}: {html_safe(v)}</li>" for k, v in (gates.__dict__ if gates else result.meta["gates"]).items())
     parts = [f'<h2 id="{a}">{k}. {t}</h2>{html_table(df)}' for k, (a, t, df) in enumerate(_sections(result, recs), 1)]
-    return _page(title, "".join(parts) + f"<h2>Thresholds</h2><ul>{g}</ul>")
+    head = "".join(f"<li>{html_safe(k)}: {html_safe(_cell(v))}</li>" for k, v in kpis(result).items())
+    return _page(title, f'<ul class="kpi">{head}</ul>' + "".join(parts) + f"<h2>Thresholds</h2><ul>{g}</ul>")
 
 
 def render_condensed_html_report(result: SegmentEvalResult, title: str = "Segment scorecard evaluation (condensed)", gates: Gates | None = None, recs: DataFrame | None = None) -> str:
-    """A table of contents and the sections, with only material rows: gaps of 0.10, drift of 0.25."""
-    sections = _sections(result, recs)
+    """A table of contents and only material rows: cells to act on, gaps of 0.10, drift of 0.25, unstable vintages."""
+    sections = _material(result, recs)
     toc = "".join(f'<li><a href="#{a}">{t}</a></li>' for a, t, _ in sections)
     return _page(title, f"<ul>{toc}</ul>" + "".join(f'<h2 id="{a}">{t}</h2>{frozen_html_table(df, index_cols=["segment_col", "segment_value"])}' for a, t, df in sections))
 

@@ -37,3 +37,12 @@ def make_synthetic_book(spark: SparkSession, n: int = 12_000, seed: int = 7) ->
 def make_synthetic_db_table(spark: SparkSession, n: int = 12_000, seed: int = 7, portfolio: str = "PortfolioA") -> DataFrame:
     names = {"app_id": "SKP_CREDIT_CASE", "score_date": "DATE_DECISION", "obs": "TargetAObs", "default": "TargetA", "pd": "PD", "channel": "CHANNEL", "fantomas": "FLAG_FANTOMAS"}
     return make_synthetic_book(spark, n, seed).withColumnsRenamed(names).withColumn("PORTFOLIO", F.lit(portfolio))
+
+
+def make_fake_executor(spark: SparkSession, table: DataFrame | None = None, n: int = 12_000, seed: int = 7, portfolio: str = "PortfolioA", hidden_columns: tuple[str, ...] = (), name: str = "schema.scores"):
+    """An executor of SQL that knows one table, ``table`` or a synthetic one, by ``name``."""
+    from gradewise.sources.metadata import SqlExecutor
+
+    executor = SqlExecutor(spark, hidden_columns)
+    executor.register(name, table if table is not None else make_synthetic_db_table(spark, n, seed, portfolio))
+    return executor
