@@ -99,15 +99,22 @@ def fit(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = sorted((r["lang"], bytes(r["counts"])) for r in texts.mapInArrow(_counts, "lang string, counts binary").collect())
     if not got:
         return LanguageModel([], np.ones(DIM), np.zeros((0, DIM)), np.zeros(0, dtype=np.int64), 1.0)
-    counts = np.stack([np.frombuffer(b, dtype="<u4") for _, b in got])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    x = np.log1p(counts) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    # one matrix of 32-bit floats, worked on in place: the sample is the most that the driver holds
     names = np.array([lang for lang, _ in got])
+    x, seen_in = np.empty((len(got), DIM), dtype=np.float32), np.zeros(DIM)
+    for i, (_, b) in enumerate(got):
+        counts = np.frombuffer(b, dtype="<u4")
+        seen_in += counts > 0
+        x[i] = np.log1p(counts)
+    idf = np.log((1 + len(got)) / (1 + seen_in)) + 1
+    del got
+    for row in x:
+        row *= idf
+        row /= max(float(np.sqrt(row @ row)), 1e-12)
     languages = sorted(set(names.tolist()))
     parts = [spherical_means(x[names == lang], CENTROIDS, 7 + k) for k, lang in enumerate(languages)]
     owner = np.concatenate([np.full(len(p), k) for k, p in enumerate(parts)])
-    centroids = np.concatenate(parts)
+    centroids = np.concatenate(parts).astype(np.float64)
     distance = np.sort(1 - (x @ centroids.T).max(axis=1))
     farthest = float(min(1.0, distance[min(len(distance) - 1, int(KEPT_SHARE * len(distance)))] * SLACK))
     return LanguageModel(languages, idf, centroids, owner, farthest)

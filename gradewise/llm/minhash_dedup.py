@@ -34,7 +34,7 @@ SLOTS = BANDS * ROWS
 #: Documents, and shingles, in a block of a family; documents where only signatures are compared.
 BLOCK, BLOCK_SHINGLES, SIGN_BLOCK = 1024, 1_000_000, 2048
 #: Bits of the map of documents that have a candidate edge, and of the pages that Spark builds it from.
-MARKS, _PAGE = 1 << 26, 32_768
+MARKS, _PAGE = 1 << 25, 32_768
 #: A pair whose signatures agree in fewer slots than a similarity at the threshold gives, less this many standard
 #: deviations, is not looked at on full sets. Small sets fill few slots by themselves, so their deviation is larger.
 DEVIATIONS = 5.0
@@ -91,10 +91,10 @@ def _sketcher(width: int):
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
-    """A bitmap of ``MARKS`` bits in which every id of ``ids`` has set one: 8 MB, however many ids there are."""
+    """A bitmap of ``MARKS`` bits in which every id of ``ids`` has set one: 4 MB, however many ids there are."""
     rows = ids.select(_mark().alias("mark")).groupBy(F.floor(F.col("mark") / _PAGE).alias("page")).agg(F.bitmap_construct_agg(F.col("mark") % _PAGE).alias("bits"))
     out = np.zeros((MARKS // _PAGE, _PAGE // 8), dtype=np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         out[r["page"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return out.reshape(-1)
 
@@ -285,6 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = spark.sparkContext.broadcast(_marks(stars.select(F.explode(F.array("src", "dst")).alias("id"))))
     maker, set_schema = _set_maker(width, marks)
     sets = materialize(source.where("id is not null").withColumn("mark", _mark()).mapInArrow(maker, set_schema), "sets")
+    marks.destroy()
     confirm, link_schema = _confirmer(percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:

@@ -101,15 +101,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return QualityModel(np.zeros(DIM), 0.0, 1.0, float(np.log((share * len(y) + 1) / ((1 - share) * len(y) + 1))))
-    hits = [np.frombuffer(r[2], dtype="<u2").astype(np.int64) for r in rows]
-    ones = np.bincount(np.concatenate([h for h, k in zip(hits, y, strict=True) if k == 1]), minlength=DIM) + SMOOTH
-    zeros = np.bincount(np.concatenate([h for h, k in zip(hits, y, strict=True) if k == 0]), minlength=DIM) + SMOOTH
+    hits = [np.frombuffer(r[2], dtype="<u2") for r in rows]  # two bytes a hit, as they came
+    ones, zeros = np.full(DIM, SMOOTH), np.full(DIM, SMOOTH)
+    for h, k in zip(hits, y, strict=True):
+        (ones if k == 1 else zeros)[h] += 1
     ratio = np.log((ones / ones.sum()) / (zeros / zeros.sum()))
     held = np.arange(len(rows)) % HELD_BACK == HELD_BACK - 1
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(rows), dtype=bool)
     learn = np.flatnonzero(~held)
-    values = [ratio[h] / np.sqrt(max(1, len(h))) for h in hits]
+    values = [(ratio[h] / np.sqrt(max(1, len(h)))).astype(np.float32) for h in hits]
     # classes count alike, however many rows each has
     share = np.where(y == 1, 0.5 / max(1, (y[learn] == 1).sum()), 0.5 / max(1, (y[learn] == 0).sum())) * len(learn)
     w = dual_coordinate_descent([hits[i] for i in learn], [values[i] for i in learn], 2 * y[learn] - 1, 10 * COST * share[learn], DIM)
