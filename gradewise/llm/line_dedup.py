@@ -6,6 +6,9 @@ over the hashes of its lines. What a chunk holds depends on nothing around it, a
 passage, so any passage of ``least_words`` words or more that repeats whole lines goes whole. A chunk that occurs earlier
 (by document, then place) is removed once its bytes, white space at line ends apart, were compared with that first
 occurrence's. A removed line so always stays where it stands first, though what stood around it there may go.
+
+These runs stand in for boundaries chosen by a rolling hash: such boundaries fall too seldom in passages of a few lines to
+find each of them, whereas the shortest runs, as independent of shifts, find all.
 """
 
 from __future__ import annotations
@@ -84,14 +87,36 @@ def _inverse_weights(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=_U)
 
 
+def _ranked_here(ids: pa.Array, keys: pa.Array, lo: np.ndarray, hash_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of chunks of one batch: which to keep (one of each place), a salt (0: its hash's first here), and if that recurs here."""
+    unknown, id_ = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+    key = keys.to_numpy()
+    order = np.lexsort((lo, key, id_, unknown, hash_))
+    same_hash = np.concatenate(([False], hash_[order][1:] == hash_[order][:-1]))[: len(order)]
+    same_place = same_hash.copy()
+    for column in (unknown, id_, key, lo):
+        same_place[1:] &= column[order][1:] == column[order][:-1]
+    order, same_hash = order[~same_place], same_hash[~same_place]
+    again = np.zeros(len(order), dtype=bool)
+    again[:-1] = ~same_hash[:-1] & same_hash[1:]
+    salt = np.where(same_hash, (mix(key[order].view(_U) + lo[order].astype(_U)) >> _U(33)).astype(np.int64) + 1, 0)
+    return order, salt, again
+
+
 def _finder(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, texts = batch.column(0), batch.column(1), [t or "" for t in batch.column(2).to_pylist()]
-            for part in groups_by_size(np.array([len(t) for t in texts])):
-                doc, lo, hi, key = _chunks(texts[part], least_words)
-                at = pa.array(doc + part.start)
-                yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(key.view(np.int64))], names=["id", "text_key", "lo", "hi", "hash"])
+            found = [[a + part.start if k == 0 else a for k, a in enumerate(_chunks(texts[part], least_words))] for part in groups_by_size(np.array([len(t) for t in texts]))]
+            if not found:
+                continue
+            at, lo, hi, key = (np.concatenate(c) for c in zip(*found, strict=True))
+            keep, salt, again = _ranked_here(ids.take(pa.array(at)), keys.take(pa.array(at)), lo, key)
+            place = pa.array(at[keep])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(place), keys.take(place), pa.array(lo[keep], pa.int64()), pa.array(hi[keep], pa.int64()), pa.array(key[keep].view(np.int64)), pa.array(salt), pa.array(again)],
+                names=["id", "text_key", "lo", "hi", "hash", "salt", "again"],
+            )
 
     return run
 
@@ -208,10 +233,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`").cast("string")
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_key"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), text.alias("text"))
     source = keyed.where("text is not null").select("id", "text_key", "text")
-    chunks = source.mapInArrow(_finder(least_words), "id long, text_key long, lo long, hi long, hash long")
-    # one shuffle by hash; rows of one id and one text tie, so both are first
-    places = W.partitionBy("hash").orderBy(F.asc_nulls_last("id"), "text_key", "lo")
-    ranked = chunks.select("*", (F.rank().over(places) == 1).alias("first"), F.lead("hash").over(places).isNotNull().alias("more"))
+    chunks = source.mapInArrow(_finder(least_words), "id long, text_key long, lo long, hi long, hash long, salt long, again boolean")
+    # one shuffle by hash; of a batch only the first of a hash can be the first of all, so the others are dealt anywhere;
+    # rows of one id and one text tie, so both are first
+    places = W.partitionBy("hash", "salt").orderBy(F.asc_nulls_last("id"), "text_key", "lo")
+    ranked = chunks.select("id", "text_key", "lo", "hi", "hash", ((F.rank().over(places) == 1) & (F.col("salt") == 0)).alias("first"), (F.col("again") | F.lead("hash").over(places).isNotNull()).alias("more"))
     spots = ranked.where("more or not first").groupBy("id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "hash", "first")).alias("spots"))
     squeezed = source.mapInArrow(_squeeze, "id long, text_key long, blob binary")
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["text_key"] == b["text_key"])

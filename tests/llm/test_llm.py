@@ -193,6 +193,17 @@ def test_line_dedup_of_odd_tables(spark):
     assert short[8] == "a b c." and short[9] == ""
 
 
+def test_a_very_common_line_stays_where_it_stands_first(spark):
+    common = words(25, 5, 9000) + "."
+    ids = [*range(60, 0, -1), 3, None]
+    texts = [f"{words(30, k, 9000)}.\n" + f"{common}\n" * (1 + k % 4) + f"{words(30, 500 + k, 9000)}." for k in range(62)]
+    texts[60] = texts[57]
+    rows = line_dedup.dedup_lines(documents(spark, texts, ids)).collect()
+    assert [r.doc_id for r in rows if common in r.text] == [1]
+    assert sum(r.text.count(common) for r in rows) == 1
+    assert len({r.text for r in rows if r.doc_id == 3}) == 1
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
