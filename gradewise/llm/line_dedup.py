@@ -238,11 +238,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # rows of one id and one text tie, so both are first
     places = W.partitionBy("hash", "salt").orderBy(F.asc_nulls_last("id"), "text_key", "lo")
     ranked = chunks.select("id", "text_key", "lo", "hi", "hash", ((F.rank().over(places) == 1) & (F.col("salt") == 0)).alias("first"), (F.col("again") | F.lead("hash").over(places).isNotNull()).alias("more"))
-    spots = ranked.where("more or not first").groupBy("id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "hash", "first")).alias("spots"))
+    repeats = materialize(ranked.where("more or not first"), "repeats")
+    spots = repeats.groupBy("id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "hash", "first")).alias("spots"))
     squeezed = source.mapInArrow(_squeeze, "id long, text_key long, blob binary")
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["text_key"] == b["text_key"])
     quoted = squeezed.join(spots, same(squeezed, spots)).select(squeezed["id"], squeezed["text_key"], "blob", "spots")
     quotes = materialize(quoted.mapInArrow(_quote, "id long, text_key long, lo long, hi long, hash long, first boolean, quote binary"), "quotes")
+    release(repeats)
     kept = quotes.where("first").select("hash", "quote")
     gone = quotes.where("not first").join(kept, ["hash", "quote"], "left_semi").groupBy("id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     spans = materialize(gone, "spans")
