@@ -91,8 +91,15 @@ def _ranked_here(ids: pa.Array, keys: pa.Array, lo: np.ndarray, hash_: np.ndarra
     """Of chunks of one batch: which to keep (one of each place), a salt (0: its hash's first here), and if that recurs here."""
     unknown, id_ = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
     key = keys.to_numpy()
-    order = np.lexsort((lo, key, id_, unknown, hash_))
-    same_hash = np.concatenate(([False], hash_[order][1:] == hash_[order][:-1]))[: len(order)]
+    by_hash = np.argsort(hash_, kind="stable")
+    equal = hash_[by_hash][1:] == hash_[by_hash][:-1]
+    many = np.zeros(len(by_hash), dtype=bool)
+    many[1:] |= equal
+    many[:-1] |= equal
+    alone, order = by_hash[~many], by_hash[many]
+    order = order[np.lexsort((lo[order], key[order], id_[order], unknown[order], hash_[order]))]
+    same_hash = np.zeros(len(order), dtype=bool)
+    same_hash[1:] = hash_[order][1:] == hash_[order][:-1]
     same_place = same_hash.copy()
     for column in (unknown, id_, key, lo):
         same_place[1:] &= column[order][1:] == column[order][:-1]
@@ -100,6 +107,7 @@ def _ranked_here(ids: pa.Array, keys: pa.Array, lo: np.ndarray, hash_: np.ndarra
     again = np.zeros(len(order), dtype=bool)
     again[:-1] = ~same_hash[:-1] & same_hash[1:]
     salt = np.where(same_hash, (mix(key[order].view(_U) + lo[order].astype(_U)) >> _U(33)).astype(np.int64) + 1, 0)
+    order, salt, again = np.append(alone, order), np.append(np.zeros(len(alone), dtype=np.int64), salt), np.append(np.zeros(len(alone), dtype=bool), again)
     return order, salt, again
 
 
