@@ -129,7 +129,7 @@ def _finder(least_words: int):
     return run
 
 
-#: Bytes of quotes in one batch; bounds memory, not what is quoted.
+#: Bytes of quotes, or characters of texts, in one batch; bounds memory, not what is quoted.
 QUOTED = 1 << 23
 _BLANKS = " \t\n\x0b\x0c\r"
 _LINE_END = re.compile(r"\n|(?<=[.!?])[ \t\x0b\x0c\r]")
@@ -167,11 +167,11 @@ def _quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, keys, blobs, lists = batch.columns
         bounds, spots = lists.offsets.to_pylist(), lists.values
-        los, his, firsts = (spots.field(c).to_pylist() for c in ("lo", "hi", "first"))
+        los, his, firsts = (spots.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "first"))
         rows, at, quotes, size = [], [], [], 0
         for k in range(len(batch)):
             lines, since, upto = _lines(_open(blobs[k].as_py()))
-            here = [(los[s], his[s], s) for s in range(bounds[k], bounds[k + 1])]
+            here = list(zip(los[bounds[k] : bounds[k + 1]].tolist(), his[bounds[k] : bounds[k + 1]].tolist(), range(bounds[k], bounds[k + 1]), strict=True))
             for lo, hi, s in [x for x in here if firsts[x[2]]] + cover([x for x in here if not firsts[x[2]]]):
                 rows.append(k)
                 at.append(s)
@@ -215,17 +215,18 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 def _remove(columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed = [], []
-            for blob, spans in zip(batch.column(columns).to_pylist(), batch.column(columns + 1).to_pylist(), strict=True):
-                text = _open(blob)
-                if text is not None and spans:
-                    short = without(text, [(s["lo"], s["hi"]) for s in spans])
-                    removed.append(len(text) - len(short))
-                    text = short
-                else:
-                    removed.append(0)
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:columns], "text", "removed"])
+            texts, removed, size, since = [], [], 0, 0
+            blobs, lists = batch.column(columns), batch.column(columns + 1)
+            for k in range(len(batch)):
+                text, spans = _open(blobs[k].as_py()), lists[k].as_py()
+                short = without(text, [(s["lo"], s["hi"]) for s in spans]) if text is not None and spans else text
+                removed.append(len(text) - len(short) if short is not text else 0)
+                texts.append(short)
+                size += len(short or "")
+                if size > QUOTED or k == len(batch) - 1:
+                    part = [c.slice(since, len(texts)) for c in batch.columns[:columns]]
+                    yield pa.RecordBatch.from_arrays([*part, pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=[*batch.schema.names[:columns], "text", "removed"])
+                    texts, removed, size, since = [], [], 0, k + 1
 
     return run
 
