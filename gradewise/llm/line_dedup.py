@@ -130,7 +130,7 @@ def _finder(least_words: int):
 
 
 #: Bytes of quotes, or characters of texts, in one batch; bounds memory, not what is quoted.
-QUOTED = 1 << 23
+QUOTED = 1 << 21
 _BLANKS = " \t\n\x0b\x0c\r"
 _LINE_END = re.compile(r"\n|(?<=[.!?])[ \t\x0b\x0c\r]")
 

@@ -11,7 +11,7 @@ MIX_A, MIX_B = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Code points in one window of work; bounds memory, not what is read.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
