@@ -111,8 +111,30 @@ def _ranked_here(ids: pa.Array, keys: pa.Array, lo: np.ndarray, hash_: np.ndarra
     return order, salt, again
 
 
+#: Common hashes whose first place a task remembers; beyond it they are dealt as before, with the same result.
+KNOWN = 100_000
+
+
+def _deal_known(known: dict[int, tuple], ids: pa.Array, keys: pa.Array, lo: np.ndarray, hash_: np.ndarray, salt: np.ndarray, again: np.ndarray) -> None:
+    """Salt the batch's first of a hash where the task already gave out an earlier place of it that is marked as recurring.
+
+    So a hash that recurs in most batches sends one row a task, not one a batch, to the task that ranks it.
+    """
+    at = np.flatnonzero(again)
+    some = pa.array(at)
+    places = zip(ids.take(some).to_pylist(), keys.take(some).to_pylist(), lo[at].tolist(), strict=True)
+    for i, h, (id_, key, since) in zip(at.tolist(), hash_[at].tolist(), places, strict=True):
+        place = (id_ is None, id_ or 0, key, since)
+        earlier = known.get(h)
+        if earlier is not None and earlier < place:
+            salt[i] = (hash((key, since)) & 0x7FFFFFFF) + 1
+        elif earlier is not None or len(known) < KNOWN:
+            known[h] = place
+
+
 def _finder(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, tuple] = {}
         for batch in batches:
             ids, keys, texts = batch.column(0), batch.column(1), [t or "" for t in batch.column(2).to_pylist()]
             found = [[a + part.start if k == 0 else a for k, a in enumerate(_chunks(texts[part], least_words))] for part in groups_by_size(np.array([len(t) for t in texts]))]
@@ -121,6 +143,7 @@ def _finder(least_words: int):
             at, lo, hi, key = (np.concatenate(c) for c in zip(*found, strict=True))
             keep, salt, again = _ranked_here(ids.take(pa.array(at)), keys.take(pa.array(at)), lo, key)
             place = pa.array(at[keep])
+            _deal_known(known, ids.take(place), keys.take(place), lo[keep], key[keep], salt, again)
             yield pa.RecordBatch.from_arrays(
                 [ids.take(place), keys.take(place), pa.array(lo[keep], pa.int64()), pa.array(hi[keep], pa.int64()), pa.array(key[keep].view(np.int64)), pa.array(salt), pa.array(again)],
                 names=["id", "text_key", "lo", "hi", "hash", "salt", "again"],

@@ -202,6 +202,14 @@ def test_a_very_common_line_stays_where_it_stands_first(spark):
     assert [r.doc_id for r in rows if common in r.text] == [1]
     assert sum(r.text.count(common) for r in rows) == 1
     assert len({r.text for r in rows if r.doc_id == 3}) == 1
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")  # the task meets the line in many batches, at later and at earlier places
+    try:
+        small = line_dedup.dedup_lines(documents(spark, texts, ids)).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted((r.doc_id or 0, r.text) for r in small) == sorted((r.doc_id or 0, r.text) for r in rows)
 
 
 def test_line_dedup_of_nothing(spark):
